@@ -7,6 +7,7 @@ import importlib
 #: name: (module, function, name of its SQL or None)
 REGISTRY = {
     "op5_exact_dedup": ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
+    "op8_window_dedup": ("window_dedup", "op8_window_dedup", "OP8_SQL"),
     "op10_sharding": ("sharding", "op10_sharding", None),
 }
 
