@@ -6,6 +6,7 @@ import importlib
 
 #: name: (module, function, name of its SQL or None)
 REGISTRY = {
+    "op1_suffix_dedup": ("suffix_dedup", "op1_suffix_dedup", "OP1_SQL"),
     "op5_exact_dedup": ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
     "op8_window_dedup": ("window_dedup", "op8_window_dedup", "OP8_SQL"),
     "op10_sharding": ("sharding", "op10_sharding", None),
