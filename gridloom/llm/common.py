@@ -209,10 +209,10 @@ def connected(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFr
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
         e = scratch(small, tag)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now[0] == 0 or tuple(now) == last or False:
+        if now[0] == 0 or tuple(now) == last:
             break
         last = tuple(now)
     else:
         raise RuntimeError("connected components did not settle")
-    pairs = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return pairs
+    found = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return found.union(found.select("component", "component").distinct())
