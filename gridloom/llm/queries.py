@@ -8,6 +8,7 @@ import importlib
 REGISTRY = {
     "op1_suffix_dedup": ("suffix_dedup", "op1_suffix_dedup", "OP1_SQL"),
     "op5_exact_dedup": ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
+    "op6_toxicity": ("toxicity", "op6_toxicity", None),
     "op7_jaccard_join": ("jaccard_join", "op7_jaccard_join", "OP7_SQL"),
     "op8_window_dedup": ("window_dedup", "op8_window_dedup", "OP8_SQL"),
     "op10_sharding": ("sharding", "op10_sharding", None),

@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import BASES, NO_ID, blocked, documents, ids_of, mix, pack_bits, part_slices, parts_of, sliding_min, table_of, text_bytes, unpack_bits
 
 LENGTH, ANCHOR, SHARDS = 50, 20, 4
-BLOCK, PART = 4 << 20, 12 << 20
+BLOCK, PART = 3 << 20, 6 << 20
+#: Suffixes that one merge takes at most, unless one anchor alone has more: a part is merged anchor range by anchor range.
+MERGE = 1 << 19
 ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("flags", pa.binary())])
 ASK_SQL = "part int, block long, keys binary, flags binary"
-SEND = pa.schema([("part", pa.int32()), ("block", pa.int64())] + [(n, pa.binary()) for n in ("bytes", "lengths", "firsts", "which", "ids", "docs", "offsets")])
-SEND_SQL = "part int, block long, bytes binary, lengths binary, firsts binary, which binary, ids binary, docs binary, offsets binary"
+SEND = pa.schema([("part", pa.int32()), ("block", pa.int64())] + [(n, pa.binary()) for n in ("bytes", "lengths", "subs", "firsts", "which", "ids", "docs", "offsets")])
+SEND_SQL = "part int, block long, bytes binary, lengths binary, subs binary, firsts binary, which binary, ids binary, docs binary, offsets binary"
 REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("bits", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
 REPLY_SQL = "block long, part int, bits binary, docs binary, starts binary, ends binary"
 
@@ -108,24 +110,25 @@ class Block:
             shared[s:e] = unpack_bits(bits[p], e - s)
         pick = np.flatnonzero(shared[self.group]) if len(keys) else np.zeros(0, np.int64)
         part = parts_of(self.anchor[pick], n_parts)
-        at, ends, doc = self.at[pick], self.ends[pick], self.doc[pick]
+        at, ends, doc, low = self.at[pick], self.ends[pick], self.doc[pick], self.anchor[pick].astype(np.uint8)
         rows = []
         for p in np.unique(part):
             mine = np.flatnonzero(part == p)
             mine = mine[np.argsort(doc[mine], kind="stable")]  # documents ascend, so the first of equal strings has the least id
             known: dict[bytes, int] = {}
             which = np.empty(len(mine), np.uint32)
-            firsts = []
+            firsts, subs = [], []
             raw, more = self.raw, self.length - 1
-            for j, (s, e, d) in enumerate(zip(at[mine].tolist(), ends[mine].tolist(), doc[mine].tolist())):
+            for j, (s, e, d, a) in enumerate(zip(at[mine].tolist(), ends[mine].tolist(), doc[mine].tolist(), low[mine].tolist())):
                 text = raw[s : e + more]
                 k = known.get(text)
                 if k is None:
                     k = known[text] = len(firsts)
                     firsts.append(d)
+                    subs.append(a)
                 which[j] = k
             rows.append((
-                int(p), block, b"".join(known), np.fromiter(map(len, known), np.uint32, len(known)).tobytes(),
+                int(p), block, b"".join(known), np.fromiter(map(len, known), np.uint32, len(known)).tobytes(), np.array(subs, np.uint8).tobytes(),
                 self.ids[np.array(firsts)].tobytes(), which.tobytes(), self.ids[doc[mine]].tobytes(), doc[mine].astype(np.uint32).tobytes(),
                 (at[mine] - self.start[doc[mine]]).astype(np.int64).tobytes(),
             ))
@@ -229,6 +232,14 @@ def earliest(strings: list[bytes], firsts: np.ndarray, length: int, shards: int
     return out, offset
 
 
+def anchor_ranges(subs: np.ndarray, sizes: np.ndarray, most: int = MERGE) -> list[np.ndarray]:
+    """Indices of strings, range by range of their anchors' low bits, each of about `most` suffixes."""
+    order = np.argsort(subs, kind="stable")
+    share = np.cumsum(np.bincount(subs, weights=sizes, minlength=256)) // most
+    ranges = share[subs[order]]
+    return np.split(order, np.flatnonzero(ranges[1:] != ranges[:-1]) + 1)
+
+
 def _answer_anchors(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
@@ -244,24 +255,32 @@ def _answer_strings(table: pa.Table, length: int, shards: int) -> pa.Table:
     rows = table.to_pylist()
     known: dict[bytes, int] = {}
     firsts: list[int] = []
+    subs: list[int] = []
     maps = []
     for r in rows:
         ends = np.cumsum(np.frombuffer(r["lengths"], np.uint32).astype(np.int64)).tolist()
         raw, s, own = r["bytes"], 0, []
-        for e, first in zip(ends, np.frombuffer(r["firsts"], np.int64).tolist()):
+        for e, first, sub in zip(ends, np.frombuffer(r["firsts"], np.int64).tolist(), r["subs"]):
             text = raw[s:e]
             s = e
             k = known.get(text)
             if k is None:
                 k = known[text] = len(firsts)
                 firsts.append(first)
+                subs.append(sub)
             elif first < firsts[k]:
                 firsts[k] = first
             own.append(k)
         maps.append(np.array(own, np.int64))
     strings = list(known)
     del known
-    least, offset = earliest(strings, np.array(firsts, np.int64), length, shards)
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    offset = np.r_[0, np.cumsum(np.maximum(sizes - length + 1, 0))]
+    least, first_of = np.empty(offset[-1], np.int64), np.array(firsts, np.int64)
+    for chosen in anchor_ranges(np.array(subs), sizes + 1):
+        found, own = earliest([strings[i] for i in chosen.tolist()], first_of[chosen], length, shards)
+        n = np.diff(own)
+        least[np.repeat(offset[chosen] - own[:-1], n) + np.arange(len(found))] = found
     replies = []
     for r, own in zip(rows, maps):
         first = np.frombuffer(r["firsts"], np.int64)
