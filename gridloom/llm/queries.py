@@ -7,6 +7,7 @@ import importlib
 #: name: (module, function, name of its SQL or None)
 REGISTRY = {
     "op1_suffix_dedup": ("suffix_dedup", "op1_suffix_dedup", "OP1_SQL"),
+    "op4_pii": ("pii", "op4_pii", None),
     "op5_exact_dedup": ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
     "op6_toxicity": ("toxicity", "op6_toxicity", None),
     "op7_jaccard_join": ("jaccard_join", "op7_jaccard_join", "OP7_SQL"),
