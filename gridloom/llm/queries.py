@@ -7,6 +7,7 @@ import importlib
 #: name: (module, function, name of its SQL or None)
 REGISTRY = {
     "op1_suffix_dedup": ("suffix_dedup", "op1_suffix_dedup", "OP1_SQL"),
+    "op2_pitman_yor": ("pitman_yor", "op2_pitman_yor", None),
     "op3_decontamination": ("decontamination", "op3_decontamination", None),
     "op4_pii": ("pii", "op4_pii", None),
     "op5_exact_dedup": ("exact_dedup", "op5_exact_dedup", "OP5_SQL"),
