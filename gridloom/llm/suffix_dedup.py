@@ -32,6 +32,9 @@ LENGTH, ANCHOR, SHARDS = 50, 20, 4
 BLOCK, PART = 3 << 20, 6 << 20
 #: Suffixes that one merge takes at most, unless one anchor alone has more: a part is merged anchor range by anchor range.
 MERGE = 1 << 19
+#: Positions that one string carries at most. Repetitive text has long stretches under one anchor; cut at a fixed
+#: step, their pieces are mostly equal and sent once.
+PIECE = 256
 ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("flags", pa.binary())])
 ASK_SQL = "part int, block long, keys binary, flags binary"
 SEND = pa.schema([("part", pa.int32()), ("block", pa.int64())] + [(n, pa.binary()) for n in ("bytes", "lengths", "subs", "firsts", "which", "ids", "docs", "offsets")])
@@ -76,7 +79,7 @@ class Block:
         self.raw = b"".join(texts)
         self.length = length
         b = np.frombuffer(self.raw, np.uint8)
-        value = sliding_min(gram_hashes(b, anchor), length - anchor + 1)
+        value = mix(sliding_min(gram_hashes(b, anchor), length - anchor + 1))  # mixed anew: least hashes are all small
         m = len(value)
         valid = np.zeros(m, bool)
         border = np.zeros(m + 1, bool)
@@ -88,7 +91,11 @@ class Block:
         at = np.flatnonzero(border[:m])
         ends = np.r_[at[1:], m]
         ok = valid[at]
-        self.at, self.ends, self.anchor = at[ok], ends[ok], value[at[ok]]
+        at, ends = at[ok], ends[ok]
+        n_pieces = -(-(ends - at) // PIECE)
+        whole = np.repeat(np.arange(len(at)), n_pieces)
+        begin = at[whole] + PIECE * (np.arange(len(whole)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces))
+        self.at, self.ends, self.anchor = begin, np.minimum(begin + PIECE, ends[whole]), value[at[whole]]
         self.doc = np.searchsorted(self.start, self.at, side="right") - 1
         order = np.argsort(self.anchor, kind="stable")
         self.at, self.ends, self.anchor, self.doc = (x[order] for x in (self.at, self.ends, self.anchor, self.doc))

@@ -29,6 +29,7 @@ from gridloom.llm.common import (
     WordHash,
     documents,
     ids_of,
+    mix,
     pack_bits,
     part_slices,
     rolling,
@@ -64,7 +65,7 @@ class Block:
         self.at = np.flatnonzero((doc[:m] == doc[window - 1 : window - 1 + m]) & (self.ids[doc[:m]] != NO_ID))
         self.doc = doc[self.at]
         self.a, self.window = a, window
-        self.anchor_of = sliding_min(rolling(a, anchor, BASES[0]), window - anchor + 1)[self.at]
+        self.anchor_of = mix(sliding_min(rolling(a, anchor, BASES[0]), window - anchor + 1)[self.at])  # least hashes are all small
         self.anchors, self.inverse = np.unique(self.anchor_of, return_inverse=True)
 
     def anchor_messages(self, n_parts: int, block: int) -> list[tuple]:
