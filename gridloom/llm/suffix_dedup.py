@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import BASES, NO_ID, blocked, documents, ids_of, mix, pack_bits, part_slices, parts_of, sliding_min, table_of, text_bytes, unpack_bits
 
-LENGTH, ANCHOR, SHARDS = 50, 20, 4
+LENGTH, ANCHOR, SHARDS = 50, 20, 2
 BLOCK, PART = 3 << 20, 6 << 20
 #: Suffixes that one merge takes at most, unless one anchor alone has more: a part is merged anchor range by anchor range.
-MERGE = 1 << 19
+MERGE = 1 << 17
 #: Positions that one string carries at most. Repetitive text has long stretches under one anchor; cut at a fixed
 #: step, their pieces are mostly equal and sent once.
 PIECE = 256
@@ -117,7 +117,7 @@ class Block:
             shared[s:e] = unpack_bits(bits[p], e - s)
         pick = np.flatnonzero(shared[self.group]) if len(keys) else np.zeros(0, np.int64)
         part = parts_of(self.anchor[pick], n_parts)
-        at, ends, doc, low = self.at[pick], self.ends[pick], self.doc[pick], self.anchor[pick].astype(np.uint8)
+        at, ends, doc, low = self.at[pick], self.ends[pick], self.doc[pick], self.anchor[pick].astype(np.uint32)
         rows = []
         for p in np.unique(part):
             mine = np.flatnonzero(part == p)
@@ -135,7 +135,7 @@ class Block:
                     subs.append(a)
                 which[j] = k
             rows.append((
-                int(p), block, b"".join(known), np.fromiter(map(len, known), np.uint32, len(known)).tobytes(), np.array(subs, np.uint8).tobytes(),
+                int(p), block, b"".join(known), np.fromiter(map(len, known), np.uint32, len(known)).tobytes(), np.array(subs, np.uint32).tobytes(),
                 self.ids[np.array(firsts)].tobytes(), which.tobytes(), self.ids[doc[mine]].tobytes(), doc[mine].astype(np.uint32).tobytes(),
                 (at[mine] - self.start[doc[mine]]).astype(np.int64).tobytes(),
             ))
@@ -181,7 +181,6 @@ def merge_bwts(bwts: list[np.ndarray], n_strings: list[int], rounds: int) -> tup
     z = np.repeat(np.arange(len(bwts), dtype=np.uint8), [len(b) for b in bwts])
     head = np.repeat(np.arange(len(bwts), dtype=np.uint8), n_strings)
     border = np.zeros(n, bool)
-    border[0] = True
     lcp = np.full(n, rounds, np.int16)
     block = np.zeros(n, np.int32)
     chars = np.empty(n, np.uint8)
@@ -191,16 +190,15 @@ def merge_bwts(bwts: list[np.ndarray], n_strings: list[int], rounds: int) -> tup
             chars[z == j] = b
         inner = np.flatnonzero(chars)
         c = chars[inner]
-        inner = inner[np.argsort(c, kind="stable")]
-        c = np.sort(c, kind="stable")
+        move = np.argsort(c, kind="stable")
+        inner, c = inner[move], c[move]
         came = block[inner]
         new_border[:n_ends] = True
         new_border[n_ends] = True
         new_border[n_ends + 1 :] = (c[1:] != c[:-1]) | (came[1:] != came[:-1])
         z = np.concatenate([head, z[inner]])
-        fresh = new_border & (lcp == rounds)
-        lcp[fresh] = h
-        border[:] = new_border
+        lcp[new_border & ~border] = h
+        border, new_border = new_border, border
         block = np.cumsum(border, dtype=np.int32) - 1
     return z, block, lcp
 
@@ -239,12 +237,16 @@ def earliest(strings: list[bytes], firsts: np.ndarray, length: int, shards: int
     return out, offset
 
 
-def anchor_ranges(subs: np.ndarray, sizes: np.ndarray, most: int = MERGE) -> list[np.ndarray]:
-    """Indices of strings, range by range of their anchors' low bits, each of about `most` suffixes."""
-    order = np.argsort(subs, kind="stable")
-    share = np.cumsum(np.bincount(subs, weights=sizes, minlength=256)) // most
-    ranges = share[subs[order]]
-    return np.split(order, np.flatnonzero(ranges[1:] != ranges[:-1]) + 1)
+def anchor_ranges(anchors: np.ndarray, sizes: np.ndarray, among: np.ndarray, most: int = MERGE) -> list[np.ndarray]:
+    """The strings `among` all, range by range of anchors: whole anchors, about `most` suffixes."""
+    order = among[np.argsort(anchors[among], kind="stable")]
+    if not len(order):
+        return []
+    a = anchors[order]
+    new = np.r_[True, a[1:] != a[:-1]]
+    ahead = (np.cumsum(sizes[order]) - sizes[order])[new]  # suffixes before each anchor
+    share = (ahead // most)[np.cumsum(new) - 1]
+    return np.split(order, np.flatnonzero(share[1:] != share[:-1]) + 1)
 
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
@@ -267,7 +269,7 @@ def _answer_strings(table: pa.Table, length: int, shards: int) -> pa.Table:
     for r in rows:
         ends = np.cumsum(np.frombuffer(r["lengths"], np.uint32).astype(np.int64)).tolist()
         raw, s, own = r["bytes"], 0, []
-        for e, first, sub in zip(ends, np.frombuffer(r["firsts"], np.int64).tolist(), r["subs"]):
+        for e, first, sub in zip(ends, np.frombuffer(r["firsts"], np.int64).tolist(), np.frombuffer(r["subs"], np.uint32).tolist()):
             text = raw[s:e]
             s = e
             k = known.get(text)
@@ -284,7 +286,14 @@ def _answer_strings(table: pa.Table, length: int, shards: int) -> pa.Table:
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     offset = np.r_[0, np.cumsum(np.maximum(sizes - length + 1, 0))]
     least, first_of = np.empty(offset[-1], np.int64), np.array(firsts, np.int64)
-    for chosen in anchor_ranges(np.array(subs), sizes + 1):
+    sub = np.array(subs, np.int64)
+    # a string alone under its anchor shares nothing with another one: its own first document decides
+    _, of, alike = np.unique(sub, return_inverse=True, return_counts=True)
+    alone = alike[of] == 1
+    n = np.diff(offset)
+    least[:] = np.repeat(first_of, n)
+    several = np.flatnonzero(~alone)
+    for chosen in anchor_ranges(sub, sizes + 1, several):
         found, own = earliest([strings[i] for i in chosen.tolist()], first_of[chosen], length, shards)
         n = np.diff(own)
         least[np.repeat(offset[chosen] - own[:-1], n) + np.arange(len(found))] = found
