@@ -29,7 +29,7 @@ ALPHA = 1.0
 SAMPLES = 2
 SEED = 9
 WORDS_AT_ONCE = 1 << 15
-NODES = 1 << 19
+NODES = 1 << 20
 END = -1
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -85,11 +85,17 @@ class Lattices:
             for c in p:
                 at = step.setdefault(at * n + place[c], len(step) + 1)
             ends[at] = (i, score)
-        self.keys = np.array(sorted(step), np.int64)
+        self.width = np.int32 if (len(step) + 1) * n < 1 << 31 else np.int64
+        self.keys = np.array(sorted(step), self.width)
         self.next = np.array([step[k] for k in self.keys.tolist()], np.int64)
         self.piece, self.score = np.full(len(step) + 1, -1, np.int64), np.zeros(len(step) + 1)
         for at, (i, score) in ends.items():
             self.piece[at], self.score[at] = i, score
+        self.begin = np.full(n + 1, -1, np.int64)  # states after one character; the last place is for unknown ones
+        roots = self.keys < n
+        self.begin[self.keys[roots]] = self.next[roots]
+        self.inner = np.zeros(len(step) + 1, bool)  # states with a way on
+        self.inner[self.keys // n] = True
         # pool of id sequences: every piece alone, then the byte sequences of characters without a piece
         self.id_at, self.ids, self.spelled = list(range(len(pieces) + 1)), list(range(len(pieces))), {}
         self.pool = None
@@ -97,8 +103,8 @@ class Lattices:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
-        self.first, self.child = np.zeros(1, np.int64), np.zeros(0, np.int64)
-        self.logp, self.seq = np.zeros(0), np.zeros(0, np.int64)
+        self.first, self.child = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.logp, self.rarity, self.seq = np.zeros(0), np.zeros(0), np.zeros(0, np.int32)
 
     def spell(self, code: int) -> int:
         """Place in the pool of the byte pieces of a character."""
@@ -132,10 +138,15 @@ class Lattices:
         single = np.zeros(n, bool)
         while len(start):
             c = char[start + reach]
-            key = state * len(self.chars) + c
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = (self.keys[at] == key) & (c >= 0)
-            start, state = start[ok], self.next[at[ok]]
+            if reach:
+                key = (state * len(self.chars) + c).astype(self.width)
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                ok = (self.keys[at] == key) & (c >= 0)
+                start, state = start[ok], self.next[at[ok]]
+            else:
+                state = self.begin[c]
+                ok = state >= 0
+                start, state = start[ok], state[ok]
             reach += 1
             whole = self.piece[state] >= 0
             if whole.any():
@@ -146,7 +157,7 @@ class Lattices:
                 scores.append(self.score[state[whole]])
                 if reach == 1:
                     single[s] = True
-            going = start + reach < end[start]
+            going = (start + reach < end[start]) & self.inner[state]
             start, state = start[going], state[going]
         bare = np.flatnonzero(~single)
         codes, which = np.unique(code[bare], return_inverse=True)
@@ -176,20 +187,23 @@ class Lattices:
             most = np.maximum.reduceat(v, lead)
             total[nodes] = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, count)), lead))
         base = len(self.first) - 1
-        self.logp = np.concatenate([self.logp, score + total[target] - total[start]])
-        self.child = np.concatenate([self.child, np.where(last, END, reach + base)])
-        self.seq = np.concatenate([self.seq, seq])
+        logp = score + total[target] - total[start]
+        self.logp = np.concatenate([self.logp, logp])
+        self.rarity = np.concatenate([self.rarity, np.exp(-logp)])
+        self.child = np.concatenate([self.child, np.where(last, END, reach + base).astype(np.int32)])
+        self.seq = np.concatenate([self.seq, seq.astype(np.int32)])
         self.first = np.concatenate([self.first, first[1:] + self.first[-1]])
         for u, at in zip(units, (np.cumsum(size) - size + base).tolist()):
             self.root[u] = at
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        return self.first, self.child, self.logp, self.seq, *self.pool
+        return self.first, self.child, self.logp, self.rarity, self.seq, *self.pool
 
 
-def gumbel(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
+def exponential(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """Standard exponential noise; minus its log is Gumbel noise."""
     u = mix(key ^ mix(counter))
-    return -np.log(-np.log((u >> np.uint64(12)).astype(np.float64) * 2.0**-52 + 2.0**-53))
+    return -np.log((u >> np.uint64(12)).astype(np.float64) * 2.0**-52 + 2.0**-53)
 
 
 class Path:
@@ -209,7 +223,7 @@ class Path:
 def walk(jobs: list[tuple[Path, list[str]]], lattices: Lattices, keep: int) -> None:
     """Follows each path over the words of its stretch; keeps the `keep` best siblings met."""
     root = lattices.of([u for _, units in jobs for u in units])
-    first, child, logp, seq, id_at, ids = lattices.arrays()
+    first, child, logp, rarity, seq, id_at, ids = lattices.arrays()
     n = np.array([len(units) for _, units in jobs])
     node = root.copy()
     job = np.repeat(np.arange(len(jobs)), n)
@@ -227,17 +241,17 @@ def walk(jobs: list[tuple[Path, list[str]]], lattices: Lattices, keep: int) -> N
         nth = np.arange(len(of)) - lead[of]
         edge = at[of] + nth
         counter = (word[live[of]].astype(np.uint64) << np.uint64(28)) | (np.uint64(step) << np.uint64(6)) | nth.astype(np.uint64)
-        h = logp[edge] + gumbel(key[live[of]], counter)
-        top = np.maximum.reduceat(h, lead)
-        is_top = h == top[of]
-        took = np.flatnonzero(is_top)
+        # x = exp(-(log p + Gumbel noise)): the largest perturbed value is the least x
+        x = exponential(key[live[of]], counter) * rarity[edge]
+        least = np.minimum.reduceat(x, lead)
+        took = np.flatnonzero(x == least[of])
         took = took[np.r_[True, of[took][1:] != of[took][:-1]]]
         chosen = edge[took]
         visits.append((live, np.full(len(live), step), chosen))
-        rest = np.ones(len(h), bool)
+        rest = np.ones(len(x), bool)
         rest[took] = False
         rest = np.flatnonzero(rest)
-        siblings.append((n_visits + of[rest], edge[rest], h[rest], top[of[rest]]))
+        siblings.append((n_visits + of[rest], edge[rest], x[rest] - least[of[rest]]))
         n_visits += len(live)
         node[live] = child[chosen]
         live = live[child[chosen] != END]
@@ -254,22 +268,23 @@ def walk(jobs: list[tuple[Path, list[str]]], lattices: Lattices, keep: int) -> N
         return out
     phi = before(logp[e], np.array([p.phi for p, _ in jobs]))
     n_before = before(size, np.array([p.n_ids for p, _ in jobs]))
-    v, se, h, top = (np.concatenate(x) for x in zip(*siblings))
+    v, se, behind = (np.concatenate(x) for x in zip(*siblings))
     own = job[w[v]]
-    value = np.array([p.value for p, _ in jobs])[own]
-    gap = value - (phi[v] + h) + np.log1p(-np.exp(np.minimum(h - top, -1e-15)))
-    value = value - np.maximum(0, gap) - np.log1p(np.exp(-np.abs(gap)))
+    # a child's value, given that the largest is the parent's, is -log(exp(-parent) + exp(-phi) (x - least x))
+    with np.errstate(divide="ignore"):
+        loss = np.log(behind) - phi[v]
+    parent = np.array([p.value for p, _ in jobs])
     for _ in range(keep):
-        best = np.full(len(jobs), -np.inf)
-        np.maximum.at(best, own, value)
-        hit = np.flatnonzero((value == best[own]) & (value > -np.inf))
+        best = np.full(len(jobs), np.inf)
+        np.minimum.at(best, own, loss)
+        hit = np.flatnonzero((loss == best[own]) & (loss < np.inf))
         hit = hit[np.unique(own[hit], return_index=True)[1]]
         for k in hit.tolist():
             x, p = int(se[k]), jobs[int(own[k])][0]
             here, after = int(w[v[k]]), int(child[x])
             place = (int(word[here]) + 1, 0) if after == END else (int(word[here]), after - int(root[here]))
-            p.open.append((float(value[k]), *place, float(phi[v[k]] + logp[x]), int(n_before[v[k]]), ids[id_at[seq[x]] : id_at[seq[x] + 1]].copy()))
-        value[hit] = -np.inf
+            p.open.append((-float(np.logaddexp(-parent[own[k]], loss[k])), *place, float(phi[v[k]] + logp[x]), int(n_before[v[k]]), ids[id_at[seq[x]] : id_at[seq[x] + 1]].copy()))
+        loss[hit] = np.inf
     flat = np.repeat(id_at[seq[e[order]]], size[order]) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
     flat = ids[flat]
     cuts = np.searchsorted(np.repeat(j, size[order]), np.arange(len(jobs) + 1))
@@ -304,7 +319,7 @@ def sample(texts: list[tuple[bytes, str]], lattices: Lattices, k: int = SAMPLES,
     """Per (row key, text): up to k distinct segmentations as (ids, log probability, value, inclusion score), best first."""
     units = [UNIT.findall(with_marks(t)) for _, t in texts]
     seeds = [int.from_bytes(hashlib.blake2b(b"%d:" % seed + key, digest_size=8).digest(), "little") for key, _ in texts]
-    now: list[Path | None] = [Path(s, float(gumbel(np.array([s], np.uint64), np.array([1 << 63], np.uint64))[0])) for s in seeds]
+    now: list[Path | None] = [Path(s, -math.log(exponential(np.array([s], np.uint64), np.array([1 << 63], np.uint64))[0])) for s in seeds]
     open_: list[list] = [[] for _ in texts]
     done: list[list[Path]] = [[] for _ in texts]
     for nth in range(k):
