@@ -196,7 +196,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES,
     rows that share a doc_id do not remove each other's.  Other columns are ignored.
     """
     d, per_batch, parts = _batched(docs, batches)
-    parts = n_parts or parts
+    parts, filtered = n_parts or parts, log is None
 
     def ask_anchors(key, table):
         return table_of(MESSAGE, Block(table, window).anchor_messages(parts, key[0].as_py()))
@@ -205,7 +205,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES,
         if not table.num_rows:
             return table_of(MESSAGE, [])
         b = Block(table, window)
-        shared = b.bits(replies, 1, b.anchors, parts) if log is None else None
+        shared = b.bits(replies, 1, b.anchors, parts) if filtered else None
         _, _, k, c, f = b.windows(shared)
         return table_of(MESSAGE, [(p, key[0].as_py(), k[s:e].tobytes(), c[s:e].tobytes(), f[s:e].tobytes()) for p, s, e in part_slices(k, parts)])
 
@@ -221,7 +221,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES,
         if not table.num_rows:
             return table_of(out_schema, [])
         b = Block(table, window)
-        shared = b.bits(replies, 1, b.anchors, parts) if log is None else None
+        shared = b.bits(replies, 1, b.anchors, parts) if filtered else None
         pick, group, k, _, first = b.windows(shared)
         early = b.bits(replies, 2, k, parts)
         gone = pick[early[group] | (b.ids[b.doc[pick]] > first[group])]
