@@ -377,8 +377,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d),
-w AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY md5(substring(h, 2 * p + 1, 100))) AS first FROM p),
+c AS (SELECT doc_id, k, substring(h, 400 * k + 1, 498) AS c FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 199) // 200)) AS k FROM d)),
+p AS (SELECT doc_id, k, c, unnest(range(0, least(200, len(c) // 2 - 49))) AS q FROM c),
+w AS (SELECT doc_id, 200 * k + q AS p, min(doc_id) OVER (PARTITION BY md5(substring(c, 2 * q + 1, 100))) AS first FROM p),
 bad AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w WHERE doc_id > first),
 runs AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END)
                 OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM bad),
