@@ -13,7 +13,6 @@ part whatever the skew.  The counts of blocks and parts follow the input size.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,21 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import shared_dir
+
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 32 << 20
 NO_ID = np.iinfo(np.int64).max
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    key = spark.sparkContext.applicationId
-    if key not in _own_dirs:
-        _own_dirs[key] = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    return _own_dirs[key]
 
 
 def scratch(df: DataFrame, tag: str = "t") -> DataFrame:
@@ -107,11 +96,6 @@ class WordHash(dict):
         return h
 
 
-def lower_az(text: str) -> bytes:
-    """UTF-8 bytes with A-Z lower-cased and nothing else changed (bytes.lower is ASCII only)."""
-    return text.encode().lower()
-
-
 def word_hashes(words: list[bytes], memo: WordHash) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 

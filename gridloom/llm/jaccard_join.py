@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BASES, NO_ID, WordHash, blocked, connected, documents, ids_of, lower_az, mix, part_slices, parts_of, rolling, scratch, table_of, word_hashes
+from gridloom.llm.common import BASES, NO_ID, WordHash, blocked, connected, documents, ids_of, mix, part_slices, rolling, scratch, table_of, word_hashes
 
 SHINGLE, PERCENT = 4, 85
 GROUP_SHINGLES = 1 << 20

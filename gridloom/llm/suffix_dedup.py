@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm.common import BASES, NO_ID, blocked, documents, ids_of, mix, pack_bits, part_slices, parts_of, sliding_min, table_of, text_bytes, unpack_bits
 
