@@ -63,6 +63,8 @@ class Shell:
         if word == "help":
             print(HELP, file=self.out)
             return True
+        if self.out.isatty():
+            print(coloured(line), file=self.out)
         began = time.perf_counter()
         try:
             df = self.engine.sql(line)
