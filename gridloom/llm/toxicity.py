@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -180,11 +181,26 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     ]
 
 
+def one_of_each(rows: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
+    """Rows without copies of earlier ones: copies share their least or their largest three word hashes.
+
+    Otherwise any word of a text that was copied often would look like a word of its label.
+    """
+    seen, kept = set(), []
+    for label, words in rows:
+        h = sorted(zlib.crc32(w.encode()) for w in words)
+        marks = {("least", *h[:3]), ("largest", *h[-3:])}
+        if not marks & seen:
+            kept.append((label, words))
+        seen |= marks
+    return kept
+
+
 def learn_lexicon(rows: list[tuple[int, list[str]]], size: int = LEXICON) -> list[tuple[str, bool, float]]:
     """Entries (term, is a stem, weight) from (label, distinct words): log odds of document frequencies, smoothed."""
     counts = (Counter(), Counter())
     totals = [0, 0]
-    for label, words in rows:
+    for label, words in one_of_each(rows):
         totals[label] += 1
         units = set()
         for w in words:
