@@ -30,6 +30,7 @@ CONTEXTS = 257
 THETA = 1.0
 BURN_IN, SAMPLES, MOVES = 3, 3, 4
 FOLDS = 10
+BLOCK = 4 << 20
 COUNTS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("n", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
 COUNTS_SQL = "part int, block long, words binary, n binary, contexts binary, counts binary"
 STATE = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary())])
@@ -47,17 +48,17 @@ class Pairs:
     """Tokens of some texts, their distinct words (sorted by hash) and distinct (word, context) pairs."""
 
     def __init__(self, texts: list[bytes]):
-        split = [t.lower().split() for t in texts]
-        self.n = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
-        total = int(self.n.sum())
-        h, context = np.empty(total, np.uint64), np.full(total, CONTEXTS - 1, np.int64)
-        at, end = 0, _memo[END]
-        for words in split:
-            k = len(words)
-            h[at : at + k] = word_hashes(words, _memo)
-            h[at + k] = end
-            context[at + 1 : at + k + 1] = np.fromiter([w[-1] for w in words], np.int64, k)
-            at += k + 1
+        hashes, contexts, end = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], _memo[END]
+        for t in texts:
+            words = t.lower().split()
+            own, before = np.full(len(words) + 1, end, np.uint64), np.full(len(words) + 1, CONTEXTS - 1, np.uint16)
+            own[:-1] = word_hashes(words, _memo)
+            before[1:] = np.fromiter([w[-1] for w in words], np.uint16, len(words))
+            hashes.append(own)
+            contexts.append(before)
+        self.n = np.fromiter(map(len, hashes[1:]), np.int64, len(texts))
+        h, context = np.concatenate(hashes), np.concatenate(contexts)
+        del hashes, contexts
         self.words, of = np.unique(h, return_inverse=True)
         keys, self.pair, self.counts = np.unique(of * CONTEXTS + context, return_inverse=True, return_counts=True)
         self.word_of, self.contexts = keys // CONTEXTS, keys % CONTEXTS
@@ -238,7 +239,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, burn_in: int = BURN_IN,
     base measure's.  Rows may repeat; other columns are ignored.
     """
     total = text_bytes(docs)
-    d, _ = blocked(docs, total)
+    d, _ = blocked(docs, total, BLOCK)
     n_parts = max(4, -(-total // PART_BYTES))
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
 
@@ -249,7 +250,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, burn_in: int = BURN_IN,
                 if not held_out(doc_id, folds):
                     held.append(text)
                     load += len(text)
-                    if load > 8 << 20:
+                    if load > BLOCK:
                         yield from table_of(COUNTS, Pairs(held).messages(n_parts, 0, True)).to_batches()
                         held, load = [], 0
         if held:
