@@ -23,6 +23,7 @@ from gridloom.llm.common import BASES, NO_ID, WordHash, blocked, connected, docu
 
 SHINGLE, PERCENT = 4, 85
 GROUP_SHINGLES = 1 << 20
+BLOCK = 4 << 20
 BROADCAST_ROWS = 1 << 20
 MEMORY_SQL = "part int, block long, keys binary, counts binary, sizes binary"
 MESSAGE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
@@ -176,7 +177,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     have the empty set and no links; rows with a null doc_id have no links and a null component; rows that share a
     doc_id are one document for links.  Other columns are ignored.
     """
-    d, n_parts = blocked(docs)
+    d, n_parts = blocked(docs, block_bytes=BLOCK)
+    n_parts *= 2  # all shingles are counted: more of them to a part than of other operators' anchors
 
     def ask(key, table):
         _, sets = _sets(table, k)
