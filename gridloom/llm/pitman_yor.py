@@ -7,9 +7,12 @@ where the base measure gives every new word a table of its own.  So the parent's
 
 Counts of (word, context) are summed per block of text and dealt by word, so all customers of a word are in one part
 and only sums over parts (customers, tables and words per context) are shared.  Seating starts from expected numbers
-of tables; in every sweep, MOVES customers of each dish, drawn at random, leave and sit down again with the
-probabilities of the Chinese restaurant process.  Totals of a context follow the change within the part.  After the
-burn-in, predictive probabilities of the asked pairs are averaged over the samples.
+of tables at the estimated discount.  A sweep reseats every dish, whatever its count: in dishes of up to SMALL customers
+as many as there are, drawn at random, leave and sit down again with the probabilities of the Chinese restaurant
+process; a larger dish is reseated as a block, by its number of tables given everything else (sizes of tables do not
+enter the score): drawn from the whole distribution up to EXACT customers, by Metropolis-Hastings draws above.  Totals
+of a context follow the change within the part.  After the burn-in, predictive probabilities of the asked pairs are
+averaged over the samples.
 
 Scoring asks each part, per block of documents, for the distinct (word, context) pairs of the block; the answer is one
 number a pair.  Everything gathered grows with the corpus and is dealt over parts; nothing of it is broadcast.
@@ -17,6 +20,7 @@ number a pair.  Everything gathered grows with the corpus and is dealt over part
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -28,13 +32,15 @@ from gridloom.llm.common import NO_ID, PART_BYTES, WordHash, blocked, documents,
 
 CONTEXTS = 257
 THETA = 1.0
-BURN_IN, SAMPLES, MOVES = 3, 3, 4
+BURN_IN, SAMPLES = 3, 3
+SMALL, EXACT = 32, 1024
 FOLDS = 10
 BLOCK = 4 << 20
 COUNTS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("n", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
 COUNTS_SQL = "part int, block long, words binary, n binary, contexts binary, counts binary"
-STATE = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary())])
-STATE_SQL = "part int, words binary, n binary, contexts binary, counts binary, tables binary, sizes binary"
+SUMMED = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
+SUMMED_SQL = "part int, words binary, n binary, contexts binary, counts binary"
+STATE = pa.schema([*SUMMED, ("tables", pa.binary()), ("sizes", pa.binary())])
 REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("logs", pa.binary()), ("seen", pa.binary())])
 _memo = WordHash()
 END = b""  # the end of a text; no word is empty
@@ -86,8 +92,8 @@ def expected_tables(c: np.ndarray, d: float) -> np.ndarray:
     return np.clip(np.round(c.astype(float) ** d), 1, c).astype(np.int64)
 
 
-def _seat(table: pa.Table) -> pa.Table:
-    """Sums the counts of a part and seats them: sizes of a dish's tables as even as can be."""
+def _summed(table: pa.Table) -> pa.Table:
+    """Sums the counts of a part."""
     rows = table.to_pylist()
     words, n, contexts = _unpacked(rows)
     counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
@@ -97,12 +103,70 @@ def _seat(table: pa.Table) -> pa.Table:
     starts, _ = group_ids(key[order])
     c = np.add.reduceat(counts[order], starts)
     keys = key[order][starts]
-    t = expected_tables(c, 0.5)
-    dish = np.repeat(np.arange(len(c)), t)
-    nth = np.arange(len(dish)) - np.repeat(np.cumsum(t) - t, t)
-    sizes = c[dish] // t[dish] + (nth < c[dish] % t[dish])
     per_word = np.bincount(keys // CONTEXTS, minlength=len(distinct))
-    return table_of(STATE, [(rows[0]["part"], distinct.tobytes(), per_word.astype(np.uint16).tobytes(), (keys % CONTEXTS).astype(np.uint16).tobytes(), c.astype(np.uint32).tobytes(), t.astype(np.uint32).tobytes(), sizes.astype(np.uint32).tobytes())])
+    return table_of(SUMMED, [(rows[0]["part"], distinct.tobytes(), per_word.astype(np.uint16).tobytes(), (keys % CONTEXTS).astype(np.uint16).tobytes(), c.astype(np.uint32).tobytes())])
+
+
+def started(row: dict, d: float) -> dict:
+    """Summed counts with a first seating at discount d: tables, and for dishes of up to SMALL customers their sizes, as even as can be."""
+    c = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
+    t = expected_tables(c, d)
+    dish = np.repeat(np.arange(len(c)), np.where(c <= SMALL, t, 0))
+    first = np.searchsorted(dish, dish)
+    sizes = c[dish] // t[dish] + (np.arange(len(dish)) - first < c[dish] % t[dish])
+    return row | {"tables": t.astype(np.uint32).tobytes(), "sizes": sizes.astype(np.uint32).tobytes()}
+
+
+def _seat(table: pa.Table, d: float = 0.5) -> pa.Table:
+    return pa.Table.from_pylist([started(r, d) for r in _summed(table).to_pylist()], schema=STATE)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for positive x: Stirling's series at x + 8."""
+    shift = np.zeros_like(x)
+    for k in range(8):
+        shift += np.log(x + k)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y - shift
+
+
+@functools.lru_cache(4)
+def log_ways_table(d: float, n: int = EXACT) -> np.ndarray:
+    """[c, t]: log of the summed weights of all seatings of c customers at t tables (generalised Stirling numbers)."""
+    s = np.full((n + 1, n + 1), -np.inf)
+    s[1, 1] = 0.0
+    k = np.arange(n + 1)
+    for c in range(1, n):
+        stay = np.log(np.maximum(c - d * k, 1e-300)) + s[c]
+        s[c + 1] = np.logaddexp(np.r_[-np.inf, s[c][:-1]], stay)
+    return s
+
+
+def log_ways(c: np.ndarray, t: np.ndarray, d: float, nodes: int = 48, step: float = 0.25) -> np.ndarray:
+    """The same for any c and t, up to a constant of c.
+
+    c! / (t! d**t) times the coefficient of z**c in (1 - (1 - z)**d)**t: Cauchy's integral along a parabola through the
+    saddle point that opens around the cut from 1 on.
+    """
+    n, m = c.astype(float)[:, None], t.astype(float)[:, None]
+    low, high = np.full(n.shape, 1e-9), np.full(n.shape, 60.0)
+    for _ in range(30):
+        s = (low + high) / 2
+        over = m * d * -np.expm1(-s) * np.exp(s * (1 - d)) > n * -np.expm1(-s * d)
+        low, high = np.where(over, low, s), np.where(over, s, high)
+    y = np.clip(np.exp(-low), 1 / n, 1 - 1e-9)
+    g = 1 - y**d
+    g1, g2 = d * y ** (d - 1) / g, d * (1 - d) * y ** (d - 2) / g
+    bend = np.maximum(n / (1 - y) ** 2 + m * (g2 - g1**2), 0.25 / y**2)
+    apart = step / (2 * y * np.sqrt(bend))
+    q = 1 + 1j * np.arange(nodes) * apart
+    w = -y * q * q
+    e = m * np.log(1 - (-w) ** d) - (n + 1) * np.log(1 + w) + np.log(q)
+    top = e[:, :1].real
+    v = np.exp(e - top).real
+    total = (v.sum(1) - v[:, 0] / 2) * apart[:, 0] * 2 * y[:, 0] / np.pi
+    t = t.astype(float)
+    return np.where(t == c, 0.0 - log_gamma(c + 1.0), top[:, 0] + np.log(np.maximum(total, 1e-300)) - log_gamma(t + 1) - t * np.log(d))
 
 
 class Seating:
@@ -119,7 +183,13 @@ class Seating:
         self.key = self.word * CONTEXTS + self.context
         self.seen = np.bincount(self.word, weights=self.c, minlength=len(self.words)).astype(np.int64)
         self.at_start = np.bincount(self.context, weights=self.t, minlength=CONTEXTS)
-        self.movable = np.flatnonzero(self.c > 1)
+        self.small = self.c <= SMALL
+        self.movable = np.flatnonzero((self.c > 1) & self.small)
+        middle = np.flatnonzero(~self.small & (self.c <= EXACT))
+        middle = middle[np.argsort(self.c[middle], kind="stable")]
+        load = np.cumsum(self.c[middle]) >> 19  # bounded work at a time
+        self.middle = np.split(middle, np.flatnonzero(load[1:] != load[:-1]) + 1) if len(middle) else []
+        self.large = np.flatnonzero(self.c > EXACT)
         self.rng = np.random.Generator(np.random.Philox(int(self.words[0] >> np.uint64(1)) if len(self.words) else 0))
         self.refresh()
 
@@ -128,20 +198,21 @@ class Seating:
         here = np.bincount(self.context, weights=self.t, minlength=CONTEXTS)
         change = np.where(self.at_start > 0, here / np.maximum(self.at_start, 1), 1.0)
         self.tables_of = self.totals["tables"] * change
-        all_tables = self.tables_of.sum()
-        own = np.bincount(self.word, weights=self.t, minlength=len(self.words))
-        self.parent = np.maximum(own - self.d0, 1e-9) / (THETA + all_tables)
+        self.all_tables = all_tables = self.tables_of.sum()
+        self.own = np.bincount(self.word, weights=self.t, minlength=len(self.words))
+        self.parent = np.maximum(self.own - self.d0, 1e-9) / (THETA + all_tables)
         self.parent_new = (THETA + self.d0 * self.totals["words"]) / (THETA + all_tables)
         self.share = (THETA + self.d1 * self.tables_of) / (THETA + self.totals["customers"])
 
-    def move(self) -> None:
-        """One customer of every dish that has two or more stands up and sits down again."""
-        m, rng = self.movable, self.rng
+    def move(self, least: int = 2) -> None:
+        """One customer of every small dish that has `least` or more stands up and sits down again."""
+        m, rng = self.movable[self.c[self.movable] >= least], self.rng
         if not len(m):
             return
-        lead = np.cumsum(self.t) - self.t
+        held = np.where(self.small, self.t, 0)
+        lead = np.cumsum(held) - held
         ends = np.cumsum(self.sizes)
-        base = np.cumsum(self.c) - self.c  # customers of earlier dishes: tables hold them in order
+        base = np.cumsum(self.c * self.small) - self.c * self.small  # customers of earlier dishes: tables hold them in order
         table = np.searchsorted(ends, base[m] + np.floor(rng.random(len(m)) * self.c[m]).astype(np.int64), side="right")
         sizes = self.sizes
         sizes[table] -= 1
@@ -173,9 +244,63 @@ class Seating:
         shift = np.searchsorted(keep, place)
         self.sizes = np.insert(sizes[keep], shift, 1)
 
-    def sweep(self, moves: int = MOVES) -> None:
-        for _ in range(moves):
-            self.move()
+    def _others(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables of the context, of the word and of all, without the dishes' own."""
+        u, w, t = self.context[m], self.word[m], self.t[m]
+        return np.maximum(self.tables_of[u] - t, 0.0), np.maximum(self.own[w] - t, 0.0), np.maximum(self.all_tables - t, 0.0)
+
+    def draw_tables(self, m: np.ndarray) -> None:
+        """Numbers of tables of dishes of up to EXACT customers, from all that are possible."""
+        c = self.c[m]
+        n = int(c.max())
+        here, own, every = (x[:, None] for x in self._others(m))
+        k = np.arange(1, n)[None, :]
+        weight = log_ways_table(self.d1)[c, 1 : n + 1]
+        weight[:, 1:] += np.cumsum(np.log((THETA + self.d1 * (here + k)) * np.maximum(own + k - self.d0, 1e-9) / (THETA + every + k)), axis=1)
+        p = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
+        self.t[m] = 1 + np.minimum((p < self.rng.random((len(m), 1)) * p[:, -1:]).sum(1), c - 1)
+
+    def step_tables(self, m: np.ndarray) -> None:
+        """Metropolis-Hastings draws of the numbers of tables of dishes of any count, proposed around the most probable."""
+        c, d, rng = self.c[m], self.d1, self.rng
+        here, own, every = self._others(m)
+
+        def weight(at, t):
+            return log_ways(c[at], t, d) + t * np.log(d) + log_gamma(THETA / d + here[at] + t) + log_gamma(np.maximum(own[at] + t - self.d0, 1e-9)) - log_gamma(THETA + every[at] + t)
+
+        every_one = np.arange(len(m))
+        low, high = np.ones(len(m), np.int64), c - 1
+        while (low < high).any():  # one peak
+            mid = (low + high) // 2
+            rises = weight(every_one, mid + 1) > weight(every_one, mid)
+            low, high = np.where(rises, np.minimum(mid + 1, high), low), np.where(rises, high, mid)
+        peak = low
+        off = np.maximum(1, np.minimum(np.sqrt(peak).astype(np.int64), np.minimum(peak, c - peak) - 1))
+        bend = 2 * weight(every_one, peak) - weight(every_one, peak + off) - weight(every_one, np.maximum(peak - off, 1))
+        spread = np.maximum(off / np.sqrt(np.maximum(bend, 1e-6)) / 1.6, 0.3)
+
+        def proposed(at, t):  # a logistic distribution in whole numbers
+            a, b = ((np.abs(t - peak[at]) + x) / spread[at] for x in (-0.5, 0.5))
+            return a + np.log(np.expm1(b - a)) - np.logaddexp(0, a) - np.logaddexp(0, b)
+
+        t = self.t[m]
+        now = weight(every_one, t) - proposed(every_one, t)
+        for _ in range(4):
+            to = peak + np.rint(rng.logistic(size=len(m)) * spread).astype(np.int64)
+            at = np.flatnonzero((to >= 1) & (to <= c))
+            then = weight(at, to[at]) - proposed(at, to[at])
+            ok = np.log(rng.random(len(at))) < then - now[at]
+            t[at[ok]], now[at[ok]] = to[at[ok]], then[ok]
+        self.t[m] = t
+
+    def sweep(self) -> None:
+        """Reseats every dish of two or more customers."""
+        for r in range(int(self.c[self.movable].max(initial=0))):
+            self.move(max(2, r + 1))
+        for m in self.middle:
+            self.draw_tables(m)
+        for m in np.array_split(self.large, -(-len(self.large) // 4096)) if len(self.large) else ():
+            self.step_tables(m)
         self.refresh()
 
     def predictive(self, word: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -196,7 +321,7 @@ def _answer(state: pa.Table, asked: pa.Table, totals: dict, burn_in: int, sample
     rows = sorted(asked.to_pylist(), key=lambda r: r["block"])
     if not rows:
         return table_of(REPLY, [])
-    s = Seating(state.to_pylist()[0] if state.num_rows else None, totals)
+    s = Seating(started(state.to_pylist()[0], totals["d1"]) if state.num_rows else None, totals)
     words, n, context = _unpacked(rows)
     word = find(s.words, words)
     of = np.repeat(word, n)
@@ -214,15 +339,23 @@ def _answer(state: pa.Table, asked: pa.Table, totals: dict, burn_in: int, sample
     return table_of(REPLY, [(r["block"], r["part"], a.tobytes(), b.tobytes()) for r, a, b in zip(rows, np.split(logs, n_pairs), np.split(seen, n_words))])
 
 
-def _sums(batches):
-    """Per state row, per context: customers, tables, dishes with one and two customers; at -1 the words' own."""
+def _singles(batches):
+    """Per row of counts: dishes with one and two customers."""
+    for b in batches:
+        c = [np.frombuffer(x, np.uint32) for x in b.column("counts").to_pylist()]
+        yield pa.record_batch([pa.array([int((x == k).sum()) for x in c], pa.int64()) for k in (1, 2)], names=["ones", "twos"])
+
+
+def _sums(batches, d: float):
+    """Per row of counts, per context: customers and first tables; at -1 the words, and those with one and two tables."""
     for b in batches:
         for r in b.to_pylist():
             words, n, context = _unpacked([r])
             c = np.frombuffer(r["counts"], np.uint32).astype(np.int64)
-            t = np.frombuffer(r["tables"], np.uint32).astype(np.int64)
+            t = expected_tables(c, d)
             own = np.bincount(np.repeat(np.arange(len(words)), n), weights=t)
-            cols = [np.bincount(context, weights=w, minlength=CONTEXTS) for w in (c, t, c == 1, c == 2)]
+            none = np.zeros(CONTEXTS)
+            cols = [np.bincount(context, weights=w, minlength=CONTEXTS) for w in (c, t)] + [none, none]
             cols = [np.r_[x, y].astype(np.int64) for x, y in zip(cols, (len(words), 0, (own == 1).sum(), (own == 2).sum()))]
             yield pa.record_batch([pa.array(np.r_[np.arange(CONTEXTS), -1], pa.int32()), *map(pa.array, cols)], names=["context", "customers", "tables", "ones", "twos"])
 
@@ -259,12 +392,14 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, burn_in: int = BURN_IN,
     def ask(key, table):
         return table_of(COUNTS, Pairs(table.column("text").cast(pa.binary()).to_pylist()).messages(n_parts, key[0].as_py(), False))
 
-    state = scratch(texts.mapInArrow(count, COUNTS_SQL).groupBy("part").applyInArrow(_seat, STATE_SQL), "seating")
-    sums = state.mapInArrow(_sums, "context int, customers long, tables long, ones long, twos long").groupBy("context")
+    state = scratch(texts.mapInArrow(count, COUNTS_SQL).groupBy("part").applyInArrow(_summed, SUMMED_SQL), "seating")
+    singles = state.mapInArrow(_singles, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
+    d1 = _discount(singles[0] or 0, singles[1] or 0)
+    sums = state.mapInArrow(lambda b: _sums(b, d1), "context int, customers long, tables long, ones long, twos long").groupBy("context")
     got = {r["context"]: r for r in sums.agg(*(F.sum(c).alias(c) for c in ("customers", "tables", "ones", "twos"))).collect()}  # 258 rows
     of = lambda c: np.array([got[k][c] if k in got else 0 for k in range(CONTEXTS)], float)
     train_tokens, n_words = int(of("customers").sum()), int(got[-1]["customers"]) if -1 in got else 0
-    totals = {"customers": of("customers"), "tables": of("tables"), "words": n_words, "d1": _discount(of("ones").sum(), of("twos").sum()), "d0": _discount(got[-1]["ones"], got[-1]["twos"]) if -1 in got else 0.5}
+    totals = {"customers": of("customers"), "tables": of("tables"), "words": n_words, "d1": d1, "d0": _discount(got[-1]["ones"], got[-1]["twos"]) if -1 in got else 0.5}
     divisor = train_tokens + 0.1 * (n_words + 1)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -500,3 +500,30 @@ def test_piece_round_trip(docs, none, pieces):
         for ids, *_ in piece_sampling.sample([(b"k", t)], lattices, 2)[0]:
             assert whole(ids.tolist()) == t.encode()
     assert piece_sampling.sample_segmentations(none).count() == 0
+
+
+@pytest.mark.parametrize("c", [6, 300, 3000])
+def test_a_sweep_reseats_a_dish_of_any_count(c):
+    """One dish among others, swept from one table: tables follow the exact distribution given the others."""
+    d, others, own, n_runs = 0.6, 5000.0, 400.0, 400
+    ways = pitman_yor.log_ways_table(d, c)[c, 1:]
+    k = np.arange(1, c)
+    weight = ways + np.r_[0, np.cumsum(np.log((1 + d * (others + k)) * (own + k - 0.5) / (1 + others + k)))]
+    p = np.exp(weight - weight.max())
+    p /= p.sum()
+    mean = (p * np.arange(1, c + 1)).sum()
+    sd = math.sqrt((p * (np.arange(1, c + 1) - mean) ** 2).sum())
+    near = pitman_yor.log_ways(np.full(c, c), np.arange(1, c + 1), d)
+    assert np.abs((near - near[0]) - (ways - ways[0])).max() < 0.01
+    if c <= pitman_yor.SMALL:
+        return  # single moves: test_seating_agrees_with_the_process
+    row = {"words": np.array([5], np.uint64).tobytes(), "n": np.array([1], np.uint16).tobytes(), "contexts": np.array([3], np.uint16).tobytes(), "counts": np.array([c], np.uint32).tobytes(), "tables": np.array([1], np.uint32).tobytes(), "sizes": b""}
+    zero = np.zeros(257)
+    s = pitman_yor.Seating(row, {"customers": zero, "tables": zero, "words": 1, "d1": d, "d0": 0.5})
+    got = []
+    for _ in range(n_runs):
+        s.tables_of, s.own, s.all_tables = np.full(257, others + s.t[0]), np.array([own + s.t[0]]), others + s.t[0]
+        s.sweep()
+        got.append(int(s.t[0]))
+    assert abs(got[2] - mean) < 6 * sd  # three sweeps leave the start
+    assert abs(np.mean(got[3:]) - mean) < 0.4 * sd and 0.75 * sd < np.std(got[3:]) < 1.3 * sd
