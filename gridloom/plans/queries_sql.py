@@ -110,7 +110,7 @@ TABLES = {
     "table_conditional": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'rich' END AS k, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s, greatest(c_acctbal, 0) AS g, least(c_nationkey, 10) AS l FROM customer",
     "table_string": ("SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substr(p_name, 2, 3) AS s, concat(p_brand, '-', p_type) AS c, replace(p_type, ' ', '_') AS r, lpad(p_brand, 12, '*') AS l, reverse(p_brand) AS v, split_part(p_name, ' ', 1) AS f, strpos(p_name, 'a') AS a, translate(p_brand, 'ab', 'xy') AS t, levenshtein(p_brand, p_type) AS d FROM part", "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substr(p_name, 2, 3) AS s, concat(p_brand, '-', p_type) AS c, replace(p_type, ' ', '_') AS r, lpad(p_brand, 12, '*') AS l, reverse(p_brand) AS v, split_part(p_name, ' ', 1) AS f, strpos(p_name, 'a') AS a, translate(p_brand, 'ab', 'xy') AS t, levenshtein(p_brand, p_type) AS d FROM part"),
     "table_string_predicates": ("SELECT p_partkey FROM part WHERE startswith(p_type, 'S') OR contains(p_name, 'e') AND NOT endswith(p_brand, '1') OR p_name LIKE '%a%b'", "SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') OR contains(p_name, 'e') AND NOT ends_with(p_brand, '1') OR p_name LIKE '%a%b'"),
-    "table_regex": ("SELECT doc_id, regexp_replace(substr(text, 1, 80), '[aeiou]+', '_') AS r, regexp_extract(text, '[0-9]+', 0) AS d, text RLIKE '[0-9]{4}' AS l FROM documents", "SELECT doc_id, regexp_replace(substr(text, 1, 80), '[aeiou]+', '_', 'g') AS r, regexp_extract(text, '[0-9]+', 0) AS d, regexp_matches(text, '[0-9]{4}') AS l FROM documents"),
+    "table_regex": ("SELECT doc_id, regexp_replace(text, '[aeiou]+', '_') AS r, regexp_extract(text, '[0-9]+', 0) AS d, text RLIKE '[0-9]{4}' AS l FROM documents", "SELECT doc_id, regexp_replace(text, '[aeiou]+', '_', 'g') AS r, regexp_extract(text, '[0-9]+', 0) AS d, regexp_matches(text, '[0-9]{4}') AS l FROM documents"),
     "table_date": ("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_format(date_trunc('MONTH', o_orderdate), 'yyyy-MM-dd') AS t, date_format(o_orderdate, 'yyyy-MM') AS f, CAST(date_part('day', o_orderdate) AS INT) AS d FROM orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS t, strftime(o_orderdate, '%Y-%m') AS f, CAST(date_part('day', o_orderdate) AS INT) AS d FROM orders"),
     "table_date_bin": ("SELECT to_unixtime(date_bin(900, ts)) AS t, count(*) AS c FROM events GROUP BY 1", "SELECT CAST(floor(epoch_us(ts) / 1000000 / 900) * 900 AS BIGINT) AS t, count(*) AS c FROM events GROUP BY 1"),
     "table_array": ("SELECT vec_id, size(embedding) AS n, array_contains(sequence(1, 5), 3) AS h, array_join(slice(array('a', 'b', 'c'), 2, 2), '-') AS j, round(element_at(embedding, 1), 4) AS f, array_has_all(array('a', 'b'), array('a')) AS k FROM embeddings", "SELECT vec_id, len(embedding) AS n, list_contains(range(1, 6), 3) AS h, array_to_string(['a', 'b', 'c'][2:3], '-') AS j, round(embedding[1], 4) AS f, list_has_all(['a', 'b'], ['a']) AS k FROM embeddings"),

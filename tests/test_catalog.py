@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -47,3 +48,11 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["ln", "a"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_regex_takes_whole_texts(spark, con):
+    """Against Python's own expressions, without the oracle's SQL."""
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    rows = catalog.queries()["table_regex"](spark, SF).collect()
+    assert len(rows) == len(texts) and max(len(r.r) for r in rows if r.r) > 80
+    assert all(r.r == (None if texts[r.doc_id] is None else re.sub("[aeiou]+", "_", texts[r.doc_id])) for r in rows)
