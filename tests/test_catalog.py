@@ -56,3 +56,11 @@ def test_regex_takes_whole_texts(spark, con):
     rows = catalog.queries()["table_regex"](spark, SF).collect()
     assert len(rows) == len(texts) and max(len(r.r) for r in rows if r.r) > 80
     assert all(r.r == (None if texts[r.doc_id] is None else re.sub("[aeiou]+", "_", texts[r.doc_id])) for r in rows)
+
+
+def test_unnest_takes_the_whole_table(spark, con):
+    """Against the vectors themselves, without the oracle's SQL."""
+    vectors = con.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+    got = {(r.vec_id, r.pos): r.v for r in catalog.queries()["table_unnest"](spark, SF).collect()}
+    assert len(got) == sum(len(e) for _, e in vectors)
+    assert all(abs(got[i, k] - v) < 1e-4 for i, e in vectors for k, v in enumerate(e))
