@@ -28,8 +28,6 @@ SAMPLE_ROWS = 8000
 LEXICON = 512
 #: Share of the toxic rows in which an entry occurs at least.
 LEAST_SHARE = 0.015
-#: Of the words among them, the best, if their odds are over e**4, that are also sought misspelt.
-FUZZY = 64
 STEMS = range(4, 9)
 WINDOW = 8
 WORD = re.compile(r"[^\W_]+")
@@ -80,42 +78,46 @@ class Lexicon:
         self.stem_sizes = sorted({len(t) for t in self.stems})
         self.root: dict = {}
         # With `most` edits one of most + 1 pieces of a term is whole, shifted by `most` at the most: only words that
-        # have such a piece, about the length and about the letters of the term meet the automaton.
+        # have such a piece, about the length and about the letters of the term meet the automaton.  The end of a stem
+        # can be anywhere in a word, and the word may have any other letters.
         self.pieces: dict[tuple[int, int], dict[str, list]] = {}
-        for t in [t for t in self.words if self.words[t] > 4][:FUZZY]:
+        for t, stem in [(t, False) for t in self.words] + [(t, True) for t in self.stems]:
             most = self.edits(len(t))
             if not most:
                 continue
             node = self.root
             for c in t:
                 node = node.setdefault(c, {})
-            node[""] = t
+            node["_" if stem else ""] = t  # no word has this letter
             cut = [round(len(t) * k / (most + 1)) for k in range(most + 2)]
             for k, (a, b) in enumerate(zip(cut, cut[1:])):
-                for at in [0] if k == 0 else [a - len(t)] if k == most else range(a - most, a + most + 1):
-                    self.pieces.setdefault((at, b - a), {}).setdefault(t[a:b], []).append((len(t), frozenset(t), most))
+                for at in [0] if k == 0 else [a - len(t)] if k == most and not stem else range(a - most, a + most + 1):
+                    self.pieces.setdefault((at, b - a), {}).setdefault(t[a:b], []).append((len(t), frozenset(t), most, stem))
         self.seen: dict[str, tuple | None] = {}
 
     @staticmethod
     def edits(n: int) -> int:
         return 0 if n < 5 else 1 if n < 8 else 2
 
-    def intersect(self, word: str) -> tuple[str, int] | None:
-        """Nearest lexicon word within its number of edits: a walk of trie and automaton together."""
-        most = self.edits(len(word) + 1)
+    def intersect(self, word: str) -> tuple[str, int, float] | None:
+        """Nearest lexicon word, or stem of a beginning, within its number of edits, and its weight: a walk of trie and automaton together."""
+        most = self.edits(len(word) + 2)
         if not most:
             return None
         automaton, best = Levenshtein(word, most), None
         stack = [(self.root, automaton.start())]
         while stack:
             node, state = stack.pop()
-            term = node.get("")
-            if term and automaton.accepts(state):
-                d = state[-1][1]
-                if d <= self.edits(len(term)) and (best is None or (d, term) < (best[1], best[0])):
-                    best = (term, d)
             for c, child in node.items():
-                if c:
+                if c == "" or c == "_":
+                    if c:  # a stem: some beginning of the word, not all of it
+                        d = min((v for i, v in state if i < len(word)), default=most + 1)
+                    else:
+                        d = state[-1][1] if automaton.accepts(state) else most + 1
+                    weight = (self.stems if c else self.words)[child]
+                    if d <= self.edits(len(child)) and (best is None or (d, child, -weight) < (best[1], best[0], -best[2])):
+                        best = (child, d, weight)
+                else:
                     after = automaton.step(state, c)
                     if after:
                         stack.append((child, after))
@@ -140,12 +142,14 @@ class Lexicon:
         n, letters = len(word), None
         for (at, size), pieces in self.pieces.items():
             at += n if at < 0 else 0
-            for length, term, most in pieces.get(word[at : at + size], ()) if at >= 0 else ():
-                if abs(length - n) <= most:
+            for length, term, most, stem in pieces.get(word[at : at + size], ()) if at >= 0 else ():
+                if n > length - most if stem else abs(length - n) <= most:
                     letters = letters or frozenset(word)
-                    if len(letters ^ term) <= 2 * most:
+                    if len(term - letters) <= most if stem else len(letters ^ term) <= 2 * most:
                         near = self.intersect(word)
-                        return (self.words[near[0]] / (1 + near[1]), 2) if near else None
+                        if near:
+                            return near[2] / (1 + near[1]), 2
+                        return None
         return None
 
 

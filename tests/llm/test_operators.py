@@ -527,3 +527,17 @@ def test_a_sweep_reseats_a_dish_of_any_count(c):
         got.append(int(s.t[0]))
     assert abs(got[2] - mean) < 6 * sd  # three sweeps leave the start
     assert abs(np.mean(got[3:]) - mean) < 0.4 * sd and 0.75 * sd < np.std(got[3:]) < 1.3 * sd
+
+
+def test_whole_lexicon_is_sought_misspelt():
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    words = list(dict.fromkeys(word(9) for _ in range(300)))
+    stems = list(dict.fromkeys("kl" + word(6) for _ in range(40)))
+    lexicon = toxicity.Lexicon([(w, False, 8.0 - k / 50) for k, w in enumerate(words)] + [(s, True, 2.0) for s in stems])
+    for w in words:  # also those ranked late or with odds under e**4
+        for wrong in (w[:4] + w[5:], w[:4] + "z" + w[5:], w[:2] + w[3:6] + w[7:]):
+            assert lexicon.find(wrong)[1] == 2, (w, wrong)
+    for s in stems:
+        assert lexicon.find(s + "zzzzzz")[1] == 1 and lexicon.find(s[:3] + "z" + s[4:] + "zzzzzz") == (1.0, 2)
+    assert lexicon.find("zzzzzzzzz") is None
