@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding with Gumbel top-k sampling without replacement.
 
 A text is a lattice of pieces; a piece's weight is ALPHA times minus the log of its rank, and backward sums make every
-lattice node a distribution over the pieces that leave it.  Perturbed A-star search: a partial segmentation stands for
-all its completions, its value is the largest Gumbel-perturbed log probability among them; children draw theirs so
-that the largest equals the parent's.  The best open node is followed to its end (the child that inherits the value is
-always the best), its siblings stay open; the first k ends are k distinct segmentations, drawn without replacement in
-proportion to their probability.  With the next open value as threshold kappa, 1 - exp(-exp(log p - kappa)) is the
-inclusion score of a sample.  All noise is a hash of the row key, sample, word, step and edge.
+lattice node a distribution over the pieces that leave it.  Perturbed A-star search: an open entry stands for a set of
+segmentations, and its value is the largest Gumbel-perturbed log probability in that set.  The best entry is opened
+first.  The maximum of a set and the place where it is taken are independent, so opening an entry draws the place:
+the node where the segmentation leaves its parent's path (in proportion to the probability that leaves there), the
+piece taken there, then one piece a node to the text's end.  What is left of the parent's set, and what leaves the new
+path, go back on the queue with values that are Gumbel noise cut at the opened value.  The first k entries opened are k
+distinct segmentations, drawn without replacement in proportion to their probability.  With the next open value as
+threshold kappa, 1 - exp(-exp(log p - kappa)) is the inclusion score of a sample.  All noise is a hash of the row key,
+sample, word and step.
 
 No piece crosses the start of a word, so lattices are built per distinct word and remembered (bounded); the words of
-many texts are walked at once, step by step, and long texts in stretches.
+many texts are walked at once, step by step, and long texts in stretches of a fixed number of words.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.llm.common import documents, mix
 
@@ -28,8 +32,8 @@ SPACE = "▁"
 ALPHA = 1.0
 SAMPLES = 2
 SEED = 9
-WORDS_AT_ONCE = 1 << 15
-NODES = 1 << 20
+WORDS_AT_ONCE, STRETCH = 1 << 15, 1 << 13
+NODES = 1 << 21
 END = -1
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -55,7 +59,7 @@ def decode(ids, pieces: list[tuple[str, float, int]]) -> bytes:
 
 def decoder(pieces):
     table = [bytes([int(p[3:-1], 16)]) if kind == 1 else b"" if kind == 2 else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
-    return lambda ids: b"".join([table[i] for i in ids])[1:]
+    return lambda ids: b"".join(map(table.__getitem__, ids))[1:]
 
 
 #: Stands for a word mark that the text itself holds; a lone surrogate is in no text.
@@ -68,8 +72,8 @@ def with_marks(text: str) -> str:
 
 
 class Lattices:
-    """Lattices of words, end to end: node n has the edges first[n] to first[n + 1], each with child, log probability
-    given the node, and a place in the pool of id sequences.  New words are added many at once: one walk of the
+    """Lattices of words, end to end: node n has the edges first[n] to first[n + 1], likely ones first, each with child,
+    log probability given the node, the sum of probabilities up to it, and a place in the pool of id sequences.  New words are added many at once: one walk of the
     vocabulary's trie from all their characters together, then backward sums by distance from the word's end."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], alpha: float = ALPHA):
@@ -96,6 +100,7 @@ class Lattices:
         self.begin[self.keys[roots]] = self.next[roots]
         self.inner = np.zeros(len(step) + 1, bool)  # states with a way on
         self.inner[self.keys // n] = True
+        self.n_pieces = len(pieces)
         # pool of id sequences: every piece alone, then the byte sequences of characters without a piece
         self.id_at, self.ids, self.spelled = list(range(len(pieces) + 1)), list(range(len(pieces))), {}
         self.pool = None
@@ -103,8 +108,19 @@ class Lattices:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
-        self.first, self.child = np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.logp, self.rarity, self.seq = np.zeros(0), np.zeros(0), np.zeros(0, np.int32)
+        self.n_nodes = self.n_edges = 0
+        self.first = np.zeros(1, np.int64)
+        self.child, self.seq, self.logp, self.cum = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+
+    def grow(self, nodes: int, edges: int) -> None:
+        """Room for more nodes and edges; arrays double, so that adding words costs what the words do."""
+        for room, names in ((self.n_nodes + nodes + 1, ("first",)), (self.n_edges + edges, ("child", "seq", "logp", "cum"))):
+            for name in names:
+                old = getattr(self, name)
+                if room > len(old):
+                    new = np.empty(max(room, min(2 * len(old), len(old) + (1 << 21))), old.dtype)
+                    new[: len(old)] = old
+                    setattr(self, name, new)
 
     def spell(self, code: int) -> int:
         """Place in the pool of the byte pieces of a character."""
@@ -118,12 +134,13 @@ class Lattices:
         return at
 
     def of(self, units: list[str]) -> np.ndarray:
-        """First nodes of words."""
-        if len(self.first) > NODES:
-            self.clear()
-        fresh = [u for u in set(units) if u not in self.root]
+        """First nodes of words; they stay until the next call."""
+        fresh = set(units).difference(self.root)
         if fresh:
-            self.add(fresh)
+            if self.n_nodes > NODES:
+                self.clear()
+                fresh = set(units)
+            self.add(list(fresh))
         return np.fromiter(map(self.root.__getitem__, units), np.int64, len(units))
 
     def add(self, units: list[str]) -> None:
@@ -134,209 +151,250 @@ class Lattices:
         char = np.where(self.chars[char] == code, char, -1)
         n = len(code)
         start, state, reach = np.arange(n), np.zeros(n, np.int64), 0
-        starts, reaches, pieces, scores = [], [], [], []
+        found = []
+        count = np.zeros(n, np.int64)
         single = np.zeros(n, bool)
         while len(start):
             c = char[start + reach]
             if reach:
                 key = (state * len(self.chars) + c).astype(self.width)
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                ok = (self.keys[at] == key) & (c >= 0)
+                ok = np.flatnonzero((self.keys[at] == key) & (c >= 0))
                 start, state = start[ok], self.next[at[ok]]
             else:
                 state = self.begin[c]
-                ok = state >= 0
+                ok = np.flatnonzero(state >= 0)
                 start, state = start[ok], state[ok]
             reach += 1
-            whole = self.piece[state] >= 0
-            if whole.any():
+            whole = np.flatnonzero(self.piece[state] >= 0)
+            if len(whole):
                 s = start[whole]
-                starts.append(s)
-                reaches.append(s + reach)
-                pieces.append(self.piece[state[whole]])
-                scores.append(self.score[state[whole]])
+                found.append((s, reach, self.piece[state[whole]], self.score[state[whole]]))
+                count[s] += 1  # starts differ
                 if reach == 1:
                     single[s] = True
-            going = (start + reach < end[start]) & self.inner[state]
+            going = np.flatnonzero((start + reach < end[start]) & self.inner[state])
             start, state = start[going], state[going]
         bare = np.flatnonzero(~single)
-        codes, which = np.unique(code[bare], return_inverse=True)
-        spelled = np.array([self.spell(c) for c in codes.tolist()], np.int64)[which] if len(bare) else np.zeros(0, np.int64)
+        if len(bare):
+            codes, which = np.unique(code[bare], return_inverse=True)
+            spelled = np.array([self.spell(c) for c in codes.tolist()], np.int64)[which]
+            sizes = np.diff(self.id_at)[spelled]
+            found.insert(0, (bare, 1, spelled, self.byte_score * sizes))
+            count[bare] += 1
         if self.pool is None:
             self.pool = (np.array(self.id_at, np.int64), np.array(self.ids, np.int32))
-        lengths = np.diff(self.pool[0])
-        start = np.concatenate([bare, *starts])
-        order = np.argsort(start, kind="stable")
-        start = start[order]
-        reach = np.concatenate([bare + 1, *reaches])[order]
-        seq = np.concatenate([spelled, *pieces])[order]
-        score = np.concatenate([self.byte_score * lengths[spelled], *scores])[order]
-        first = np.searchsorted(start, np.arange(n + 1))
-        last = reach == end[start]
+        first = np.r_[0, np.cumsum(count)]
+        m = int(first[-1])
+        self.grow(n, m)
+        base, lead = self.n_nodes, self.n_edges
+        seq, cum, logp = self.seq[lead : lead + m], self.cum[lead : lead + m], self.logp[lead : lead + m]
+        target, score, place = np.empty(m, np.int64), np.empty(m), first[:-1].copy()
+        for s, length, piece, worth in reversed(found):  # long pieces first: they are the likely ones
+            at = place[s]
+            seq[at], score[at], target[at] = piece, worth, s + length
+            place[s] += 1
+        start = np.repeat(np.arange(n), count)
+        last = target == end[start]
+        target[last] = n
         total = np.zeros(n + 1)
         left = end - np.arange(n)
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[by_left], np.arange(1, int(left.max()) + 2))
-        target = np.where(last, n, reach)
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        by_left = np.argsort(left.astype(np.int32), kind="stable")
+        cuts = np.cumsum(np.bincount(left)).tolist()
+        for s, e in zip(cuts[:-1], cuts[1:]):
             nodes = by_left[s:e]
-            count = first[nodes + 1] - first[nodes]
-            lead = np.cumsum(count) - count
-            edge = np.repeat(first[nodes] - lead, count) + np.arange(int(count.sum()))
+            own = count[nodes]
+            ahead = np.cumsum(own) - own
+            edge = np.repeat(first[nodes] - ahead, own) + np.arange(int(ahead[-1] + own[-1]))
             v = score[edge] + total[target[edge]]
-            most = np.maximum.reduceat(v, lead)
-            total[nodes] = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, count)), lead))
-        base = len(self.first) - 1
-        logp = score + total[target] - total[start]
-        self.logp = np.concatenate([self.logp, logp])
-        self.rarity = np.concatenate([self.rarity, np.exp(-logp)])
-        self.child = np.concatenate([self.child, np.where(last, END, reach + base).astype(np.int32)])
-        self.seq = np.concatenate([self.seq, seq.astype(np.int32)])
-        self.first = np.concatenate([self.first, first[1:] + self.first[-1]])
-        for u, at in zip(units, (np.cumsum(size) - size + base).tolist()):
-            self.root[u] = at
+            most = np.maximum.reduceat(v, ahead)
+            v -= np.repeat(most, own)
+            total[nodes] = most + np.log(np.add.reduceat(np.exp(v), ahead))
+        logp[:] = score + total[target] - total[start]
+        p = np.exp(logp)
+        run = np.cumsum(p)
+        cum[:] = run - (run - p)[first[start]]
+        cum[first[1:] - 1] = 2.0  # the last edge of a node takes what rounding leaves
+        self.child[lead : lead + m] = np.where(last, END, target + base)
+        self.first[base + 1 : base + n + 1] = first[1:] + lead
+        self.n_nodes, self.n_edges = base + n, lead + m
+        self.root.update(zip(units, (np.cumsum(size) - size + base).tolist()))
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        return self.first, self.child, self.logp, self.rarity, self.seq, *self.pool
+        return self.first[: self.n_nodes + 1], self.child, self.logp, self.cum, self.seq, *self.pool
 
 
-def exponential(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
-    """Standard exponential noise; minus its log is Gumbel noise."""
-    u = mix(key ^ mix(counter))
-    return -np.log((u >> np.uint64(12)).astype(np.float64) * 2.0**-52 + 2.0**-53)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Log probability under which a path has no mass in doubles: nothing can leave it there.
+NO_MASS = -745.0
+
+
+def unit(h: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) from hashes."""
+    return (h >> np.uint64(12)).astype(np.float64) * 2.0**-52
+
+
+def noise(key: int, counter: int) -> float:
+    """A number in (0, 1) from a key and a place."""
+    h = int.from_bytes(hashlib.blake2b(b"%d,%d" % (key, counter), digest_size=7).digest(), "little")
+    return ((h >> 4) + 0.5) * 2.0**-52
 
 
 class Path:
-    """A partial segmentation of one text: words before `word` are done, and `word` up to its node `offset`."""
+    """A segmentation of one text, from the node where it left its parent's path: `word` words are done, `offset` nodes of the next."""
 
     def __init__(self, key: int, value: float, word: int = 0, offset: int = 0, phi: float = 0.0, ids: np.ndarray | None = None):
         self.key, self.value, self.word, self.offset, self.phi = key, value, word, offset, phi
         self.chunks = [] if ids is None else [ids]
         self.n_ids = 0 if ids is None else len(ids)
-        #: Open siblings met on the way: value, word, offset, phi, ids of this path before, own ids.
-        self.open: list[tuple[float, int, int, float, int, np.ndarray]] = []
+        #: Nodes passed while the path still has mass: word, offset, edge within the node, log probability before and of the edge, ids before.
+        self.heads: list[tuple[np.ndarray, ...]] = []
+        self.gone: dict[int, list[int]] = {}  # by node passed: edges that other paths took
+        self._rates: np.ndarray | None = None
 
     def ids(self) -> np.ndarray:
         return np.concatenate(self.chunks) if self.chunks else np.zeros(0, np.int32)
 
-
-def walk(jobs: list[tuple[Path, list[str]]], lattices: Lattices, keep: int) -> None:
-    """Follows each path over the words of its stretch; keeps the `keep` best siblings met."""
-    root = lattices.of([u for _, units in jobs for u in units])
-    first, child, logp, rarity, seq, id_at, ids = lattices.arrays()
-    n = np.array([len(units) for _, units in jobs])
+    def rates(self) -> np.ndarray:
+        """Probability that leaves the path at each node passed, without what other paths took; asked for when the path is whole."""
+        if self._rates is None:
+            if len(self.heads) > 1:
+                self.heads = [tuple(np.concatenate(x) for x in zip(*self.heads))]
+            self._rates = -np.expm1(self.heads[0][4]) * np.exp(self.heads[0][3]) if self.heads else np.zeros(0)
+        return self._rates
+
+    def remainder(self, below: float, nth: int) -> float:
+        """Value of the set of segmentations that leave this path: Gumbel noise at the log of its mass, cut at `below`."""
+        mass = float(self.rates().sum())
+        if mass <= 1e-300:
+            return -math.inf
+        wait = math.log(-math.log(noise(self.key, 2 * nth + 1))) - math.log(mass)
+        return -float(np.logaddexp(-below, wait))
+
+
+def walk(jobs: list[tuple[Path, np.ndarray]], lattices: Lattices) -> None:
+    """Follows each path over the words (first nodes) of its stretch, one drawn edge a node."""
+    root = np.concatenate([roots for _, roots in jobs])
+    first, child, logp, cum, seq, id_at, ids = lattices.arrays()
+    n = np.array([len(roots) for _, roots in jobs])
     node = root.copy()
-    job = np.repeat(np.arange(len(jobs)), n)
     begin = np.cumsum(n) - n
-    word = np.arange(len(node)) - begin[job] + np.array([p.word for p, _ in jobs])[job]
+    word = np.arange(len(node)) + np.repeat(np.array([p.word for p, _ in jobs]) - begin, n)
     node[begin] += np.array([p.offset for p, _ in jobs])
-    key = np.array([p.key for p, _ in jobs], np.uint64)[job]
-    live, step = np.arange(len(node)), 0
-    visits, siblings, n_visits = [], [], 0
+    key = mix(np.repeat(np.array([p.key for p, _ in jobs], np.uint64), n) ^ mix(word.astype(np.uint64)))
+    live, count, steps, step = np.arange(len(node)), np.zeros(len(node), np.int64), [], np.zeros(1, np.uint64)
     while len(live):
-        at = first[node[live]]
-        count = first[node[live] + 1] - at
-        lead = np.cumsum(count) - count
-        of = np.repeat(np.arange(len(live)), count)
-        nth = np.arange(len(of)) - lead[of]
-        edge = at[of] + nth
-        counter = (word[live[of]].astype(np.uint64) << np.uint64(28)) | (np.uint64(step) << np.uint64(6)) | nth.astype(np.uint64)
-        # x = exp(-(log p + Gumbel noise)): the largest perturbed value is the least x
-        x = exponential(key[live[of]], counter) * rarity[edge]
-        least = np.minimum.reduceat(x, lead)
-        took = np.flatnonzero(x == least[of])
-        took = took[np.r_[True, of[took][1:] != of[took][:-1]]]
-        chosen = edge[took]
-        visits.append((live, np.full(len(live), step), chosen))
-        rest = np.ones(len(x), bool)
-        rest[took] = False
-        rest = np.flatnonzero(rest)
-        siblings.append((n_visits + of[rest], edge[rest], x[rest] - least[of[rest]]))
-        n_visits += len(live)
-        node[live] = child[chosen]
-        live = live[child[chosen] != END]
-        step += 1
-    w, s, e = (np.concatenate(x) for x in zip(*visits))
-    order = np.lexsort((s, w))
-    size = id_at[seq[e] + 1] - id_at[seq[e]]
-    j = job[w[order]]
-    start = np.searchsorted(j, np.arange(len(jobs)))
-    def before(v: np.ndarray, base: np.ndarray) -> np.ndarray:
-        run = np.cumsum(v[order]) - v[order]
-        out = np.empty(len(v), run.dtype)
-        out[order] = run - run[np.minimum(start, len(run) - 1)][j] + base[j]
-        return out
-    phi = before(logp[e], np.array([p.phi for p, _ in jobs]))
-    n_before = before(size, np.array([p.n_ids for p, _ in jobs]))
-    v, se, behind = (np.concatenate(x) for x in zip(*siblings))
-    own = job[w[v]]
-    # a child's value, given that the largest is the parent's, is -log(exp(-parent) + exp(-phi) (x - least x))
-    with np.errstate(divide="ignore"):
-        loss = np.log(behind) - phi[v]
-    parent = np.array([p.value for p, _ in jobs])
-    for _ in range(keep):
-        best = np.full(len(jobs), np.inf)
-        np.minimum.at(best, own, loss)
-        hit = np.flatnonzero((loss == best[own]) & (loss < np.inf))
-        hit = hit[np.unique(own[hit], return_index=True)[1]]
-        for k in hit.tolist():
-            x, p = int(se[k]), jobs[int(own[k])][0]
-            here, after = int(w[v[k]]), int(child[x])
-            place = (int(word[here]) + 1, 0) if after == END else (int(word[here]), after - int(root[here]))
-            p.open.append((-float(np.logaddexp(-parent[own[k]], loss[k])), *place, float(phi[v[k]] + logp[x]), int(n_before[v[k]]), ids[id_at[seq[x]] : id_at[seq[x] + 1]].copy()))
-        loss[hit] = np.inf
-    flat = np.repeat(id_at[seq[e[order]]], size[order]) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
-    flat = ids[flat]
-    cuts = np.searchsorted(np.repeat(j, size[order]), np.arange(len(jobs) + 1))
-    total = np.bincount(j, weights=logp[e[order]], minlength=len(jobs))
-    for k, (p, units) in enumerate(jobs):
-        p.chunks.append(flat[cuts[k] : cuts[k + 1]])
-        p.n_ids += int(cuts[k + 1] - cuts[k])
-        p.phi += float(total[k])
-        p.word += len(units)
+        u = unit(mix(key[live] + step))
+        here = node[live]
+        edge = first[here]
+        late = np.flatnonzero(u >= cum[edge])
+        while len(late):
+            edge[late] += 1
+            late = late[u[late] >= cum[edge[late]]]
+        steps.append((live, here, edge))
+        step += GOLDEN
+        count[live] += 1
+        after = child[edge]
+        on = np.flatnonzero(after != END)
+        live = live[on]
+        node[live] = after[on]
+    at = np.cumsum(count) - count
+    passed, stood = np.empty((2, int(count.sum())), np.int64)
+    for k, (where, here, edge) in enumerate(steps):
+        to = at[where] + k
+        passed[to] = edge
+        stood[to] = here
+    own, piece = logp[passed], seq[passed].astype(np.int64)
+    if int(piece.max()) < lattices.n_pieces:
+        flat, lead = piece, None  # single pieces have their own number as place
+    else:
+        size = id_at[piece + 1] - id_at[piece]
+        lead = np.cumsum(size) - size
+        flat = ids[np.repeat(id_at[piece] - lead, size) + np.arange(int(size.sum()))]
+    flat = flat.astype(np.int32)
+    cuts = np.r_[at[begin], len(passed)].tolist()
+    for k, (p, roots) in enumerate(jobs):
+        s, e = cuts[k], cuts[k + 1]
+        a, b = (s, e) if lead is None else (int(lead[s]), int(lead[e]) if e < len(lead) else len(flat))
+        if p.phi > NO_MASS:
+            before = p.phi + np.cumsum(own[s:e]) - own[s:e]
+            m = int(np.searchsorted(-before, -NO_MASS))
+            w = np.repeat(np.arange(begin[k], begin[k] + n[k]), count[begin[k] : begin[k] + n[k]])[:m]
+            e0 = passed[s : s + m]
+            nodes = stood[s : s + m]
+            had = np.arange(m) if lead is None else lead[s : s + m] - a
+            p.heads.append((word[w], nodes - root[w], e0 - first[nodes], before[:m], own[s : s + m], had + p.n_ids))
+        p.chunks.append(flat[a:b])
+        p.n_ids += b - a
+        p.phi += float(own[s:e].sum())
+        p.word += len(roots)
         p.offset = 0
-        p.open = sorted(p.open, key=lambda o: -o[0])[:keep]
 
 
-def follow(paths: list[tuple[Path, list[str]]], lattices: Lattices, keep: int) -> None:
+def follow(paths: list[tuple[Path, np.ndarray]], lattices: Lattices) -> None:
     """Walks all paths to the ends of their texts, a bounded number of words at once."""
     jobs, load = [], 0
-    for p, units in paths:
-        at = p.word
-        while at < len(units):
-            take = units[at : at + WORDS_AT_ONCE - load]
-            jobs.append((p, take))
-            load += len(take)
-            at += len(take)
-            if load >= WORDS_AT_ONCE:
-                walk(jobs, lattices, keep)
+    for p, roots in paths:
+        for at in range(p.word, len(roots), STRETCH):
+            jobs.append((p, roots[at : at + STRETCH]))
+            load += len(jobs[-1][1])
+            if load >= WORDS_AT_ONCE or at + STRETCH < len(roots):  # the next stretch starts where this one ends
+                walk(jobs, lattices)
                 jobs, load = [], 0
     if jobs:
-        walk(jobs, lattices, keep)
+        walk(jobs, lattices)
+
+
+def branch(parent: Path, roots: np.ndarray, lattices: Lattices, value: float, key: int) -> Path:
+    """The beginning of the best path in the parent's remaining set: it leaves at a drawn node by a drawn edge."""
+    run = np.cumsum(parent.rates())
+    i = int(np.searchsorted(run, noise(key, 0) * run[-1], side="right"))
+    word, offset, chosen, before, _, had = (x[i] for x in parent.heads[0])
+    word = int(word)
+    node = int(roots[word]) + int(offset)
+    first, child, logp, _, seq, id_at, ids = lattices.arrays()
+    s, e = int(first[node]), int(first[node + 1])
+    p = np.exp(logp[s:e])
+    taken = parent.gone.setdefault(i, [])
+    p[[int(chosen), *taken]] = 0.0
+    run = np.cumsum(p)
+    x = int(np.searchsorted(run, noise(key, 2) * run[-1], side="right"))
+    taken.append(x)
+    own = float(logp[s + x])
+    # the rest of the node's mass; exactly none if no edge is left
+    parent.rates()[i] = 0.0 if len(taken) + 1 == e - s else max(0.0, parent.rates()[i] - math.exp(before + own))
+    after, q = int(child[s + x]), int(seq[s + x])
+    place = (word + 1, 0) if after == END else (word, after - node + int(offset))
+    head = np.concatenate([parent.ids()[: int(had)], ids[id_at[q] : id_at[q + 1]]])
+    return Path(key, value, *place, float(before) + own, head)
 
 
 def sample(texts: list[tuple[bytes, str]], lattices: Lattices, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per (row key, text): up to k distinct segmentations as (ids, log probability, value, inclusion score), best first."""
     units = [UNIT.findall(with_marks(t)) for _, t in texts]
+    every = lattices.of([u for words in units for u in words])
+    roots = np.split(every, np.cumsum([len(words) for words in units])[:-1])
     seeds = [int.from_bytes(hashlib.blake2b(b"%d:" % seed + key, digest_size=8).digest(), "little") for key, _ in texts]
-    now: list[Path | None] = [Path(s, -math.log(exponential(np.array([s], np.uint64), np.array([1 << 63], np.uint64))[0])) for s in seeds]
-    open_: list[list] = [[] for _ in texts]
+    now: list[Path | None] = [Path(s, -math.log(-math.log(noise(s, 1)))) for s in seeds]
+    open_: list[list[tuple[float, Path]]] = [[] for _ in texts]
     done: list[list[Path]] = [[] for _ in texts]
     for nth in range(k):
-        follow([(p, u) for p, u in zip(now, units) if p is not None], lattices, k - nth)
+        follow([(p, r) for p, r in zip(now, roots) if p is not None], lattices)
         for t, p in enumerate(now):
             if p is None:
                 continue
             done[t].append(p)
-            open_[t] = sorted(open_[t] + [(o, p) for o in p.open], key=lambda x: -x[0][0])[: k - nth]
+            queue = open_[t]
+            queue.append((p.remainder(p.value, 1), p))
             now[t] = None
-            if nth + 1 < k and open_[t]:
-                (value, word, offset, phi, before, own), parent = open_[t].pop(0)
-                key = (seeds[t] + (nth + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
-                now[t] = Path(key, value, word, offset, phi, np.concatenate([parent.ids()[:before], own]))
+            best = max(range(len(queue)), key=lambda j: queue[j][0])
+            value, parent = queue[best]
+            if nth + 1 < k and value > -math.inf:
+                now[t] = branch(parent, roots[t], lattices, value, (seeds[t] + (nth + 1) * int(GOLDEN)) % (1 << 64))
+                queue[best] = (parent.remainder(value, nth + 2), parent)
     out = []
-    for paths, rest in zip(done, open_):
-        kappa = rest[0][0][0] if rest else -math.inf
+    for paths, queue in zip(done, open_):
+        kappa = max(v for v, _ in queue)
         out.append([(p.ids(), p.phi, p.value, -math.expm1(-math.exp(min(p.phi - kappa, 700.0)))) for p in paths])
     return out
 
@@ -379,5 +437,28 @@ def sample_segmentations(docs: DataFrame, model_path: str | None = None, k: int
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
 
 
+def decode_segmentations(rows: DataFrame, model_path: str | None = None, column: str = "ids") -> DataFrame:
+    """Adds decoded (the text) to rows with a column of ids; a null list gives null, an empty one the empty text.
+
+    Byte pieces that make no valid UTF-8 become replacement characters.  An id outside the vocabulary is an error.  A
+    column named decoded is replaced; all others stay as they are, repeated rows too.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(load_pieces(model_path or default_model()))
+    kept = rows.drop("decoded")
+
+    def run(batches):
+        text_of = decoder(shared.value)
+        n = len(shared.value)
+        for b in batches:
+            told = []
+            for ids in b.column(b.schema.get_field_index(column)).to_pylist():
+                if ids and not 0 <= min(ids) <= max(ids) < n:
+                    raise ValueError(f"an id outside the vocabulary of {n}")
+                told.append(None if ids is None else text_of(ids).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.string())], names=[*b.schema.names, "decoded"])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
+
+
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(documents(spark, sf_dir), digest=True)

@@ -500,6 +500,24 @@ def test_piece_round_trip(docs, none, pieces):
         for ids, *_ in piece_sampling.sample([(b"k", t)], lattices, 2)[0]:
             assert whole(ids.tolist()) == t.encode()
     assert piece_sampling.sample_segmentations(none).count() == 0
+    back = piece_sampling.decode_segmentations(piece_sampling.sample_segmentations(docs)).collect()
+    assert back and all(r.decoded == texts[r.doc_id, len(r.decoded)] for r in back)
+    odd = docs.sparkSession.createDataFrame([(1, None, "mine"), (1, [], "mine"), (1, [], "mine")], "doc_id long, ids array<int>, decoded string")
+    assert sorted(str(r.decoded) for r in piece_sampling.decode_segmentations(odd).collect()) == ["", "", "None"]
+
+
+def test_long_texts_keep_their_samples(pieces):
+    """An unbroken word and a text of a megabyte: distinct samples that decode, the same alone and among others."""
+    lattices = piece_sampling.Lattices(pieces)
+    texts = [(b"1", "ab" * 20000), (b"2", "some words of a text " * 50000), (b"3", "tail")]
+    whole = piece_sampling.decoder(pieces)
+    together = piece_sampling.sample(texts, lattices, 2)
+    for row, samples in zip(texts, together):
+        assert len({tuple(s[0].tolist()) for s in samples}) == 2
+        alone = piece_sampling.sample([row], piece_sampling.Lattices(pieces), 2)[0]
+        for s, t in zip(samples, alone):
+            assert whole(s[0].tolist()) == row[1].encode() and s[0].tolist() == t[0].tolist()
+            assert math.isclose(s[1], t[1], rel_tol=1e-9) and math.isclose(s[3], t[3], rel_tol=1e-6)
 
 
 @pytest.mark.parametrize("c", [6, 300, 3000])
