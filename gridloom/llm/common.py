@@ -36,6 +36,16 @@ def scratch(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, tag: str = "t") -> DataFrame:
+    """Like scratch, in n buckets by key: later groupings by that key need no shuffle of this table."""
+    spark = df.sparkSession
+    name = f"gridloom_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").option("path", path).bucketBy(n, key).saveAsTable(name)
+    _remove_later(spark, path)
+    return spark.table(name)
+
+
 def _remove_later(spark: SparkSession, path: str) -> None:
     def remove() -> None:
         try:

@@ -255,51 +255,85 @@ def test_pitman_yor(docs, none):
     assert pitman_yor.score_documents(none).count() == 0
 
 
-def test_seating_is_a_distribution():
-    texts = [b"a b a b c a b", b"b a c d a a b b b a", b"e a b"] * 5
-    p = pitman_yor.Pairs(texts)
-    rows = p.messages(1, 0, True)
-    state = pitman_yor._seat(pitman_yor.table_of(pitman_yor.COUNTS, rows)).to_pylist()[0]
-    c = np.frombuffer(state["counts"], np.uint32)
-    u = np.frombuffer(state["contexts"], np.uint16)
-    totals = {"customers": np.bincount(u, weights=c, minlength=257), "tables": np.bincount(u, weights=np.frombuffer(state["tables"], np.uint32), minlength=257), "words": len(p.words), "d1": 0.6, "d0": 0.5}
-    s = pitman_yor.Seating(state, totals)
-    for _ in range(30):
+def test_pitman_yor_score_at_the_starting_seats(docs):
+    """No sweeps: one table a dish, so every score can be computed by hand."""
+    tokens = [(i, ["", *(t or "").encode().lower().split(), ""]) for i, t, *_ in corpus()]
+    tokens = [(i, [w.decode() for w in map(lambda x: x if isinstance(x, bytes) else x.encode(), ws)]) for i, ws in tokens]
+    train = [ws for i, ws in tokens if i is None or zlib.crc32(str(i).encode()) % 10]
+    pairs = Counter((u, w) for ws in train for u, w in zip(ws, ws[1:]))
+    customers, tables_of, own = Counter(), Counter(u for u, _ in pairs), Counter(w for _, w in pairs)
+    for (u, _), c in pairs.items():
+        customers[u] += c
+    ones, twos = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    d1 = pitman_yor.discount(ones, twos)
+    d0 = pitman_yor.discount(*(sum(c == k for c in own.values()) for k in (1, 2)))
+    every = len(pairs)
+
+    def p(u, w):
+        parent = (own[w] - d0 if own[w] else 1 + d0 * len(own)) / (1 + every)
+        if not customers[u]:
+            return parent
+        return (max(0, pairs[u, w] - d1 * (pairs[u, w] > 0)) + (1 + d1 * tables_of[u]) * parent) / (1 + customers[u])
+
+    want = Counter((i, round(sum(math.log10(p(u, w)) for u, w in zip(ws, ws[1:])), 6)) for i, ws in tokens)
+    rows = pitman_yor.score_documents(docs, burn_in=0, samples=1, sweeps=0).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in rows) == want
+    known = {(i, len(ws) - 1): sum(math.log10(p(u, w)) for u, w in zip(ws, ws[1:]) if own[w]) for i, ws in tokens}
+    assert all(math.isclose(r.known_score, known[r.doc_id, r.n_tokens], abs_tol=1e-6) for r in rows)
+    assert all(math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens), rel_tol=1e-9) for r in rows)
+
+
+def test_sweeps_keep_a_distribution_and_fit_better():
+    r = random.Random(3)
+    n_words, n_contexts = 40, 12
+    c = np.array([min(2000, int(r.paretovariate(0.7))) if r.random() < 0.5 else 0 for _ in range(n_words * n_contexts)])
+    u, j = np.divmod(np.flatnonzero(c), n_words)
+    c = c[c > 0]
+    t = np.ones(len(c), np.int64)
+    s = pitman_yor.Seating(c, t, u, j, np.zeros(n_contexts), np.bincount(j, weights=t, minlength=n_words), float(len(c)), 0.7, 0.4)
+    customers = np.bincount(u, weights=c, minlength=n_contexts)
+    assert pitman_yor.next_strength(*s.strength_sums(customers), s.rng) > 0
+    for _ in range(20):
         s.sweep()
-        assert np.add.reduceat(s.sizes, np.cumsum(s.t) - s.t).tolist() == s.c.tolist() and (s.sizes > 0).all()
-        for context in (97, 98, 256, 200):
-            word = np.r_[np.arange(len(s.words)), -1]
-            pair = np.where(word >= 0, pitman_yor.find(s.key, word * 257 + context), -1)
-            assert math.isclose(s.predictive(word, pair, np.full(len(word), context)).sum(), 1.0, rel_tol=1e-6)
+        assert (s.t >= 1).all() and (s.t <= c).all() and s.every == s.t.sum() == s.own.sum() == s.tables_of.sum()
+        seen = np.bincount(j, minlength=n_words) > 0
+        parent = pitman_yor.parent_of(seen, s.own, s.every, int(seen.sum()), 0.4)
+        new = pitman_yor.parent_of(0, 0, s.every, int(seen.sum()), 0.4)
+        for context in np.unique(u):
+            of, ts = np.zeros(n_words + 1), np.zeros(n_words + 1)
+            of[j[u == context]], ts[j[u == context]] = c[u == context], s.t[u == context]
+            p = pitman_yor.predictive(of, ts, customers[context], s.tables_of[context], np.r_[np.where(seen, parent, 0), new], 0.7, s.theta)
+            assert math.isclose(p[np.r_[seen, True]].sum(), 1.0, rel_tol=1e-9)
+    assert (s.t[c > 100] > 1).any()
+
+
+def one_dish(c, d, others, own, t=1, d0=0.5):
+    """A dish among others: the context has that many other tables, the word that many, and all restaurants as many as the context."""
+    one = np.zeros(1, np.int64)
+    return pitman_yor.Seating(np.array([c]), np.array([t]), one, one, np.array([others]), np.array([own + t]), others + t, d, d0)
 
 
 def test_seating_agrees_with_the_process():
-    """Tables of one dish with c customers, resampled alone: the mean number follows the exact distribution."""
-    c, d, theta, parent = 6, 0.5, 1.0, 0.3
-    weight = {}
+    """Tables of one dish with c customers, reseated alone: their number follows the distribution of all seatings."""
+    c, d, theta, others, own = 6, 0.5, 1.0, 3.0, 2.0
+    weight = Counter()
 
     def go(sizes, p):  # seat c customers of the one dish in all ways
+        k = len(sizes)
         if sum(sizes) == c:
-            weight[len(sizes)] = weight.get(len(sizes), 0) + p
+            weight[k] += p
             return
-        go(sizes + (1,), p * (theta + d * len(sizes)) * parent)
-        for k, n in enumerate(sizes):
-            go(sizes[:k] + (n + 1,) + sizes[k + 1 :], p * (n - d))
+        go(sizes + (1,), p * (theta + d * (others + k)) * (own + k - 0.5) / (theta + others + k))
+        for i, n in enumerate(sizes):
+            go(sizes[:i] + (n + 1,) + sizes[i + 1 :], p * (n - d))
 
     go((), 1.0)
-    exact = sum(t * p for t, p in weight.items()) / sum(weight.values())
-    row = {"words": np.array([5], np.uint64).tobytes(), "n": np.array([1], np.uint16).tobytes(), "contexts": np.array([3], np.uint16).tobytes(), "counts": np.array([c], np.uint32).tobytes(), "tables": np.array([2], np.uint32).tobytes(), "sizes": np.array([3, 3], np.uint32).tobytes()}
-    zero = np.zeros(257)
-    s = pitman_yor.Seating(row, {"customers": zero, "tables": zero, "words": 1, "d1": d, "d0": 0.0})
-    total, runs = 0, 40000
+    exact = {k: w / sum(weight.values()) for k, w in weight.items()}
+    s, got, runs = one_dish(c, d, others, own), Counter(), 6000
     for _ in range(runs):
-        before = s.t[0]
-        s.tables_of = np.full(257, 0.0)
-        s.tables_of[3] = before - (s.sizes == 1).sum() / c  # expected tables without the moving customer
-        s.parent = np.array([parent])
-        s.move()
-        total += s.t[0]
-    assert abs(total / runs - exact) < 0.12
+        s.sweep()
+        got[int(s.t[0])] += 1
+    assert all(abs(got[k] / runs - p) < 0.03 for k, p in exact.items())
 
 
 def test_decontamination(spark, docs, none):
@@ -533,14 +567,8 @@ def test_a_sweep_reseats_a_dish_of_any_count(c):
     sd = math.sqrt((p * (np.arange(1, c + 1) - mean) ** 2).sum())
     near = pitman_yor.log_ways(np.full(c, c), np.arange(1, c + 1), d)
     assert np.abs((near - near[0]) - (ways - ways[0])).max() < 0.01
-    if c <= pitman_yor.SMALL:
-        return  # single moves: test_seating_agrees_with_the_process
-    row = {"words": np.array([5], np.uint64).tobytes(), "n": np.array([1], np.uint16).tobytes(), "contexts": np.array([3], np.uint16).tobytes(), "counts": np.array([c], np.uint32).tobytes(), "tables": np.array([1], np.uint32).tobytes(), "sizes": b""}
-    zero = np.zeros(257)
-    s = pitman_yor.Seating(row, {"customers": zero, "tables": zero, "words": 1, "d1": d, "d0": 0.5})
-    got = []
+    s, got = one_dish(c, d, others, own), []
     for _ in range(n_runs):
-        s.tables_of, s.own, s.all_tables = np.full(257, others + s.t[0]), np.array([own + s.t[0]]), others + s.t[0]
         s.sweep()
         got.append(int(s.t[0]))
     assert abs(got[2] - mean) < 6 * sd  # three sweeps leave the start
