@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ SEED = 9
 WORDS_AT_ONCE, STRETCH = 1 << 15, 1 << 13
 NODES = 1 << 21
 END = -1
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -58,17 +60,36 @@ def decode(ids, pieces: list[tuple[str, float, int]]) -> bytes:
 
 
 def decoder(pieces):
-    table = [bytes([int(p[3:-1], 16)]) if kind == 1 else b"" if kind == 2 else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
-    return lambda ids: b"".join(map(table.__getitem__, ids))[1:]
+    table = np.array([bytes([int(p[3:-1], 16)]) if kind == 1 else b"" if kind == 2 else p.replace(SPACE, " ").encode() for p, _, kind in pieces], object)
+    return lambda ids: b"".join(table[np.asarray(ids, np.int64)].tolist())[1:]
 
 
 #: Stands for a word mark that the text itself holds; a lone surrogate is in no text.
 OWN_MARK = "\udfff"
 
 
-def with_marks(text: str) -> str:
-    """Spaces become word marks, with one ahead."""
-    return SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE) if text else ""
+def units_of(text: str) -> list[str]:
+    """Words of a text that no piece crosses the start of, as keys: `w` is a word with one mark ahead, "\n" + `w` one
+    without, anything with a mark in it (runs of spaces) or a line break alone is itself."""
+    out: list[str] = []
+    if not text:
+        return out
+    for k, line in enumerate(text.replace(SPACE, OWN_MARK).split("\n")):
+        if k:
+            out.append("\n")
+        parts = line.split(" ")
+        if "" in parts:
+            for u in UNIT.findall((SPACE if k == 0 else "") + line.replace(" ", SPACE)):
+                out.append("\n" + u if u[0] != SPACE else u if len(u) == 1 or SPACE in u[1:] else u[1:])
+        else:
+            if k:
+                parts[0] = "\n" + parts[0]
+            out += parts
+    return out
+
+
+def spelled_out(key: str) -> str:
+    return key if SPACE in key or key == "\n" else key[1:] if key[0] == "\n" else SPACE + key
 
 
 class Lattices:
@@ -89,23 +110,55 @@ class Lattices:
             for c in p:
                 at = step.setdefault(at * n + place[c], len(step) + 1)
             ends[at] = (i, score)
-        self.width = np.int32 if (len(step) + 1) * n < 1 << 31 else np.int64
-        self.keys = np.array(sorted(step), self.width)
-        self.next = np.array([step[k] for k in self.keys.tolist()], np.int64)
+        keys = np.array(list(step), np.int64)
+        after = np.array(list(step.values()), np.int32)
+        # the trie's steps as a hash table with open addressing: at a key's place or at one of the next `tries`
+        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.keys, self.next = np.full((1 << self.bits) + 64, -1, np.int64), np.zeros((1 << self.bits) + 64, np.int32)
+        slot, self.tries = self.slot(keys), 0
+        left = np.arange(len(keys))
+        while len(left):
+            at = slot[left] + self.tries
+            free, one = np.unique(at, return_index=True)
+            one = one[self.keys[free] < 0]
+            self.keys[at[one]], self.next[at[one]] = keys[left[one]], after[left[one]]
+            left = np.delete(left, one)
+            self.tries += 1
+            if self.tries >= 64:
+                raise ValueError("the trie's hash table is too full")
         self.piece, self.score = np.full(len(step) + 1, -1, np.int64), np.zeros(len(step) + 1)
         for at, (i, score) in ends.items():
             self.piece[at], self.score[at] = i, score
         self.begin = np.full(n + 1, -1, np.int64)  # states after one character; the last place is for unknown ones
-        roots = self.keys < n
-        self.begin[self.keys[roots]] = self.next[roots]
+        self.begin[keys[keys < n]] = after[keys < n]
         self.inner = np.zeros(len(step) + 1, bool)  # states with a way on
-        self.inner[self.keys // n] = True
+        self.inner[keys // n] = True
         self.n_pieces = len(pieces)
         # pool of id sequences: every piece alone, then the byte sequences of characters without a piece
         self.id_at, self.ids, self.spelled = list(range(len(pieces) + 1)), list(range(len(pieces))), {}
         self.pool = None
         self.clear()
 
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * GOLDEN) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def steps(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that the trie has, and their next states."""
+        at = self.slot(keys)
+        ok = self.keys[at] == keys
+        out = np.where(ok, self.next[at], 0)
+        left = np.flatnonzero(~ok)
+        for _ in range(1, self.tries):
+            at_left = at[left] = at[left] + 1
+            have = self.keys[at_left]
+            hit = have == keys[left]
+            out[left[hit]] = self.next[at_left[hit]]
+            left = left[~hit & (have >= 0)]
+            if not len(left):
+                break
+        places = np.flatnonzero(out)
+        return places, out[places]
+
     def clear(self) -> None:
         self.root: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
@@ -134,16 +187,24 @@ class Lattices:
         return at
 
     def of(self, units: list[str]) -> np.ndarray:
-        """First nodes of words; they stay until the next call."""
-        fresh = set(units).difference(self.root)
+        """First nodes of words (keys); they stay until the next call."""
+        try:
+            coded = pa.array(units, pa.string()).dictionary_encode()
+            words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        except UnicodeEncodeError:  # a mark of the text's own
+            place: dict[str, int] = {}
+            which = np.array([place.setdefault(u, len(place)) for u in units], np.int64)
+            words = list(place)
+        fresh = [u for u in words if u not in self.root]
         if fresh:
             if self.n_nodes > NODES:
                 self.clear()
-                fresh = set(units)
-            self.add(list(fresh))
-        return np.fromiter(map(self.root.__getitem__, units), np.int64, len(units))
+                fresh = words
+            self.add(fresh)
+        return np.fromiter(map(self.root.__getitem__, words), np.int64, len(words))[which]
 
-    def add(self, units: list[str]) -> None:
+    def add(self, keys: list[str]) -> None:
+        units = list(map(spelled_out, keys))
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, units), np.int64, len(units))
         end = np.repeat(np.cumsum(size), size)
@@ -157,10 +218,8 @@ class Lattices:
         while len(start):
             c = char[start + reach]
             if reach:
-                key = (state * len(self.chars) + c).astype(self.width)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                ok = np.flatnonzero((self.keys[at] == key) & (c >= 0))
-                start, state = start[ok], self.next[at[ok]]
+                ok, state = self.steps(np.where(c >= 0, state * len(self.chars) + c, -2))
+                start = start[ok]
             else:
                 state = self.begin[c]
                 ok = np.flatnonzero(state >= 0)
@@ -218,13 +277,12 @@ class Lattices:
         self.child[lead : lead + m] = np.where(last, END, target + base)
         self.first[base + 1 : base + n + 1] = first[1:] + lead
         self.n_nodes, self.n_edges = base + n, lead + m
-        self.root.update(zip(units, (np.cumsum(size) - size + base).tolist()))
+        self.root.update(zip(keys, (np.cumsum(size) - size + base).tolist()))
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         return self.first[: self.n_nodes + 1], self.child, self.logp, self.cum, self.seq, *self.pool
 
 
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Log probability under which a path has no mass in doubles: nothing can leave it there.
 NO_MASS = -745.0
 
@@ -371,8 +429,8 @@ def branch(parent: Path, roots: np.ndarray, lattices: Lattices, value: float, ke
 
 def sample(texts: list[tuple[bytes, str]], lattices: Lattices, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per (row key, text): up to k distinct segmentations as (ids, log probability, value, inclusion score), best first."""
-    units = [UNIT.findall(with_marks(t)) for _, t in texts]
-    every = lattices.of([u for words in units for u in words])
+    units = [units_of(t) for _, t in texts]
+    every = lattices.of(list(chain.from_iterable(units)))
     roots = np.split(every, np.cumsum([len(words) for words in units])[:-1])
     seeds = [int.from_bytes(hashlib.blake2b(b"%d:" % seed + key, digest_size=8).digest(), "little") for key, _ in texts]
     now: list[Path | None] = [Path(s, -math.log(-math.log(noise(s, 1)))) for s in seeds]
@@ -429,7 +487,7 @@ def sample_segmentations(docs: DataFrame, model_path: str | None = None, k: int
                         raw = t.encode()
                         for nth, (ids, phi, value, inclusion) in enumerate(paths):
                             told = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() if digest else ids
-                            out.append((d, nth + 1, len(ids), phi, value, inclusion, text_of(ids.tolist()) == raw, told))
+                            out.append((d, nth + 1, len(ids), phi, value, inclusion, text_of(ids) == raw, told))
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(types)], names=names)
                     batch, load = [], 0
 
