@@ -28,18 +28,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NO_ID, PART_BYTES, WordHash, bucketed, documents, ids_of, mix, pack_bits, part_slices, parts_of, scratch, table_of, text_bytes, unpack_bits, word_hashes
+from gridloom.llm.common import NO_ID, bucketed, documents, ids_of, mix, pack_bits, part_slices, scratch, table_of, text_bytes, unpack_bits
 
 THETA = 1.0
 BURN_IN, SAMPLES, SWEEPS = 2, 3, 2
 EXACT = 1024
 FOLDS = 10
-BLOCK = 8 << 20
+BLOCK, PART_BYTES = 8 << 20, 16 << 20
 MESSAGE_SQL = "part int, block long, words binary, c binary, sw binary, su binary, deg binary, pw binary, pc binary"
 MESSAGE = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in ("words", "c", "sw", "su", "deg", "pw", "pc"))])
 STATE_SQL = "part int, words binary, c binary, sw binary, su binary, deg binary, wl binary, pj binary, pc binary, blocks binary, aw array<binary>, ap array<binary>"
@@ -51,7 +53,6 @@ REPLY_SQL = "block long, part int, kind int, a binary, b binary, c binary, d bin
 REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abcde")])
 OUT_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_score double, perplexity double"
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((x, pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")), *((x, pa.float64()) for x in ("base_score", "score", "known_score", "perplexity"))])
-_memo = WordHash()
 END = b""  # the end of a text, and the context of its first word; no word is empty
 
 
@@ -111,18 +112,26 @@ class Block:
         self.ids = np.frombuffer(row["ids"], np.int64)
         ends = np.cumsum(unpacked(row["sizes"]))
         data = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=max(1, int(ends[-1])))
-        hashes, end, at = [], np.array([_memo[END]], np.uint64), 0
-        n = []
-        for stop in ends.tolist():
-            h = word_hashes(data[at:stop].lower().split(), _memo)
-            hashes += (h, end)
-            n.append(len(h) + 1)
-            at = stop
-        self.n = np.array(n, np.int64)
+        texts = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(data)])
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.values.dictionary_encode()
+        forms, which = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        begin = split.offsets.to_numpy()
+        real = np.fromiter(map(bool, forms), bool, len(forms))[which]  # white space at an edge leaves an empty string
+        before = np.r_[0, np.cumsum(real)][begin]
+        self.n = np.diff(before) + 1
+        del data, texts, split, coded
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
+        end = xxhash.xxh3_64_intdigest(END)
+        self.words = np.union1d(h[list(map(bool, forms))], np.array([end], np.uint64))
+        boundary = int(np.searchsorted(self.words, np.uint64(end)))
+        rank = np.searchsorted(self.words, h)
+        ends_at = np.cumsum(self.n) - 1
+        self.token = np.full(int(self.n.sum()), boundary, np.int64)
+        inner = np.ones(len(self.token), bool)
+        inner[ends_at] = False
+        self.token[inner] = rank[which[real]]
         self.held = np.array([held_out(None if i == NO_ID else i, folds) for i in self.ids.tolist()])
-        self.words, self.token = np.unique(np.concatenate(hashes), return_inverse=True)
-        del hashes, data
-        boundary = int(np.searchsorted(self.words, end[0]))
         code = np.r_[boundary, self.token[:-1]] * len(self.words) + self.token  # every text ends with END
         code, self.pair = np.unique(code, return_inverse=True)
         self.pu, self.pw = code // len(self.words), code % len(self.words)
@@ -291,7 +300,8 @@ class Seating:
         n = int(c.max())
         here, own, every = (x[:, None] for x in self._others(m))
         k = np.arange(1, n)[None, :]
-        weight = log_ways_table(self.d1)[c, 1 : n + 1]
+        sizes, of = np.unique(c, return_inverse=True)
+        weight = log_ways_table(self.d1)[sizes, 1 : n + 1][of]
         weight[:, 1:] += np.cumsum(np.log((self.theta + self.d1 * (here + k)) * np.maximum(own + k - self.d0, 1e-9) / (THETA + every + k)), axis=1)
         p = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
         self.t[m] = 1 + np.minimum((p < self.rng.random((len(m), 1)) * p[:, -1:]).sum(1), c - 1)
@@ -336,8 +346,9 @@ class Seating:
             m = m[np.argsort(self.c[m], kind="stable")]
             small = m[self.c[m] <= EXACT]
             if len(small):
-                load = np.cumsum(self.c[small]) >> 19  # bounded work at a time
-                for part in np.split(small, np.flatnonzero(load[1:] != load[:-1]) + 1):
+                c = self.c[small]
+                alike, load = np.floor(3 * np.log2(c)), np.cumsum(c) >> 19  # dishes of about a size, bounded work at a time
+                for part in np.split(small, np.flatnonzero((alike[1:] != alike[:-1]) | (load[1:] != load[:-1])) + 1):
                     self.draw_tables(part)
             large = m[len(small) :]
             for part in np.array_split(large, -(-len(large) // 4096)) if len(large) else ():
@@ -349,9 +360,8 @@ class Seating:
         m = customers > 1
         n, t = customers[m], self.tables_of[m].astype(np.int64)
         log_x = np.log(np.maximum(self.rng.beta(self.theta + 1, np.maximum(n - 1, 1)), 1e-300)).sum()
-        more = np.maximum(t - 1, 0)
-        i = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
-        y = (self.rng.random(len(i)) * (self.theta + self.d1 * i) < self.theta).sum()
+        least = np.bincount(np.maximum(t, 1))[::-1].cumsum()[::-1][2:]  # contexts with 2 tables or more, with 3, and so on
+        y = self.rng.binomial(least, self.theta / (self.theta + self.d1 * np.arange(1, len(least) + 1))).sum()
         return float(y), float(log_x)
 
 
