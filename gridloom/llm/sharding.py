@@ -1,13 +1,13 @@
 """Sharding by proportional stratified interleaving (DataFrame operations only).
 
-Rows are shuffled within their source by a seeded digest and ranked; rank r of n has the fraction (r - 1/2) / n;
-all rows in the order of that fraction form one sequence in which every stretch holds the sources in proportion;
-the sequence is cut into shards whose counts differ by one at most (law `rows`).
+Rows are shuffled within their source by a seeded digest of the text, then of the id, and ranked; rank r of n has the
+fraction (r - 1/2) / n; all rows in the order of that fraction form one sequence in which every stretch holds the
+sources in proportion; the sequence is cut into shards whose counts differ by one at most (law `rows`).  Equal texts of
+a source have neighbouring ranks, so a group of copies lies in as few shards as its share of the source needs.
 
-Ranks are made without a task per source: rows fall into buckets of the shuffle digest, bucket counts per source are
-summed ahead, and only rows of one bucket are sorted together.  The global order is made likewise from buckets of
-the fraction.  The number of buckets follows the row count, so a source with a third of all rows is as evenly
-spread as any other.
+Ranks are made without a task per source or per group of copies: a row's bucket is its place in 2**32 of texts and, in
+it, in 2**BITS of ids.  Bucket counts are summed ahead, and only rows of one bucket are sorted together.  The global
+order is made likewise from buckets of the fraction.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import documents, scratch
 
 BUCKET_ROWS = 512
+#: Bits of the id digest in a bucket: a text with many copies is sorted in so many pieces.
+BITS = 12
 
 
-def _ranked(rows: DataFrame, group: list[str], bucket: str, order: list, name: str) -> DataFrame:
-    """Adds name: the 0-based rank within group, of rows whose buckets ascend with the order."""
+def _ranked(rows: DataFrame, group: list[str], bucket: str, order: list, name: str, shift: int = 10) -> DataFrame:
+    """Adds name: the 0-based rank within group, of rows whose buckets ascend with the order; 2**shift buckets are summed together."""
     counts = rows.groupBy(*group, bucket).agg(F.count("*").alias("_n"))
     # running sums in two steps, so that not even the bucket counts meet in one task
-    coarse = F.shiftright(F.col(bucket), 10)
+    coarse = F.shiftright(F.col(bucket), shift)
     counts = counts.withColumn("_c", coarse)
     w_in = Window.partitionBy(*group, "_c").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy(*group, "_c").agg(F.sum("_n").alias("_s"))
@@ -42,7 +44,7 @@ def interleave(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_rows:
     """One row per input row: doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
 
     A null source is a source of its own; a null text has no bytes; null or repeated doc_ids are rows like others
-    (the text's CRC breaks ties of the digest, fully equal rows are interchangeable).  An empty table gives an empty
+    (fully equal rows are interchangeable).  An empty table gives an empty
     result; other columns are ignored.  Shard s holds positions ceil(s*N/n_shards) up to the next one's start; slot
     counts from 0 within it.  grown_shard is null: under the law `rows` every cut moves when a shard is added.
     """
@@ -54,19 +56,22 @@ def interleave(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_rows:
             F.col("source"),
             (F.octet_length(bytes_) + 8).cast("long").alias("size"),
             F.crc32(bytes_).alias("text_crc32"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
+            F.md5(F.concat(F.encode(F.lit(f"{seed}:"), "UTF-8"), bytes_)).alias("_text"),
+            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))).alias("_key"),
         ),
         "shard",
     )
     total = rows.count()
     n_buckets = max(1, -(-total // bucket_rows))
-    unit = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    first_bits = lambda c, n: F.conv(F.substring(c, 1, n // 4), 16, 10).cast("long")
+    order = ["_text", "_key", "doc_id"]
+    texts_together = max(0, 32 - n_buckets.bit_length())
     by_source = rows.groupBy("_src").agg(F.count("*").alias("_of"))
-    keyed = rows.withColumn("_b", F.floor(unit * n_buckets).cast("long"))
-    ranked = _ranked(keyed, ["_src"], "_b", ["_key", "doc_id", "text_crc32"], "_rank").join(by_source, "_src")
+    keyed = rows.withColumn("_b", F.shiftleft(first_bits("_text", 32), BITS) + first_bits("_key", BITS))
+    ranked = _ranked(keyed, ["_src"], "_b", order, "_rank", BITS + texts_together).join(by_source, "_src")
     fraction = (F.col("_rank") * 2 + 1) / (F.col("_of") * 2).cast("double")
     spread = ranked.withColumn("_f", fraction).withColumn("_b", F.least(F.floor(F.col("_f") * n_buckets), F.lit(n_buckets - 1)).cast("long"))
-    placed = _ranked(spread, [], "_b", ["_f", "_src", "_key", "doc_id", "text_crc32"], "_at")
+    placed = _ranked(spread, [], "_b", ["_f", "_src", *order], "_at")
     shard = F.expr(f"(_at * {n_shards}L) div {max(1, total)}L")
     first = F.expr(f"(_shard * {max(1, total)}L + {n_shards - 1}L) div {n_shards}L")
     return placed.withColumn("_shard", shard).select(
