@@ -41,18 +41,31 @@ def shingles(words: list[str]) -> set[tuple]:
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)} or ({tuple(words)} if words else set())
 
 
+def statistics_of(texts) -> dict:
+    """Of all items with words: number, mean and largest length, and in how many each word is."""
+    n = total = longest = 0
+    df: Counter = Counter()
+    for t in texts:
+        words = words_of(t or "")
+        if words:
+            n, total, longest = n + 1, total + len(words), max(longest, len(words))
+            df.update(set(words))
+    return {"n": n, "mean": total / max(1, n), "longest": longest, "df": df}
+
+
 class Index:
     """Inverted index of items: postings (item, impact) by term, block maxima, and the shingles to verify with."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, statistics: dict | None = None, answer_share: float = ANSWER_SHARE):
+        """statistics (of all items, also those in other indexes) decide the scores; by default these items are all."""
         self.threshold = threshold
+        statistics = statistics or statistics_of(t for _, t in items)
         kept = [(i, w) for i, w in ((i, words_of(t or "")) for i, t in items) if w]
         self.ids = [i for i, _ in kept]
         self.words = [w for _, w in kept]
-        n = len(kept)
-        mean = sum(map(len, self.words)) / max(1, n)
-        df = Counter(t for w in self.words for t in set(w))
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        n, of_all, mean = len(kept), statistics["n"], statistics["mean"]
+        df = dict.fromkeys(t for w in self.words for t in w)
+        idf = {t: math.log(1 + (of_all - statistics["df"][t] + 0.5) / (statistics["df"][t] + 0.5)) for t in df}
         self.term = {t: k + 1 for k, t in enumerate(df)}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
         for item, w in enumerate(self.words):
@@ -69,10 +82,10 @@ class Index:
             for item, v in ps:
                 self.by_block[item // ITEMS].setdefault(t, []).append((item, v))
                 self.block_max[t, item // ITEMS] = max(self.block_max[t, item // ITEMS], v)
-        self.stride = max([STRIDE, *map(len, self.words)])
+        self.stride = max(STRIDE, statistics["longest"])
         self.parts = []
         for w in self.words:
-            cut = len(w) - max(1, round(len(w) * ANSWER_SHARE)) if len(w) > 1 else len(w)
+            cut = len(w) - max(1, round(len(w) * answer_share)) if len(w) > 1 else len(w)
             self.parts.append((shingles(w), shingles(w[:cut]), shingles(w[cut:]) if cut < len(w) else set()))
 
     def wand(self, terms: list[int], blocks: list[int]) -> list[tuple[int, float]]:
@@ -168,24 +181,30 @@ def _stretches(cells: np.ndarray):
         yield from zip(cells[cut].tolist(), zip(cut.tolist(), [*cut[1:].tolist(), len(cells)]))
 
 
-def item_groups(benchmark: DataFrame, most: int = INDEX_BYTES) -> list[list[tuple[int, str]]]:
-    """Items in groups of bounded size, read in the order of their ids; null texts and ids are left out."""
+def item_groups(benchmark: DataFrame, most: int = INDEX_BYTES) -> list[tuple[list[tuple[int, str]], dict]]:
+    """Items in groups of bounded bytes, read in the order of their ids, each with the statistics of all items (for its
+    own words); null texts and ids are left out.  A group bounds what a task holds, not what it finds.
+
+    Benchmarks are small against the corpus: their words and texts pass through the driver.
+    """
     groups, size = [[]], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        if size and size + len(r["text"]) > most:
+        n = len(r["text"].encode())
+        if size and size + n > most:
             groups.append([])
             size = 0
         groups[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    return groups
+        size += n
+    whole = statistics_of(t for g in groups for _, t in g)
+    return [(g, whole | {"df": {w: whole["df"][w] for _, t in g for w in words_of(t)}}) for g in groups]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score, question_overlap, answer_overlap, at_word.
 
     Documents without a hit have no row.  Null and empty texts have none; a null doc_id is passed on; repeated rows
-    each give theirs.  An item without words is not searched; items of fewer than five words are one shingle.
+    each give theirs.  Scores and passages are the same however index_bytes cuts the items.  An item without words is not searched; items of fewer than five words are one shingle.
     Other columns are ignored.
     """
     out = None
@@ -193,10 +212,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word"]
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     for group in item_groups(benchmark, index_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(group)  # at most index_bytes of text by construction
+        shared = docs.sparkSession.sparkContext.broadcast(group)  # at most index_bytes of text (or one item) by construction
 
         def search(batches, shared=shared):
-            index = Index(shared.value, threshold)
+            index = Index(shared.value[0], threshold, shared.value[1])
             for b in batches:
                 rows = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for hit in index.search(t or "")]
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
