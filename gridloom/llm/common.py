@@ -24,6 +24,8 @@ from gridloom.session import shared_dir
 
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 32 << 20
+#: Shuffle partitions at the most; beyond it, a partition holds several blocks, which stay groups of their own.
+MOST_PARTITIONS = 8192
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -79,7 +81,7 @@ def blocked(docs: DataFrame, total: int | None = None, block_bytes: int = BLOCK_
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    return d.repartition(n_blocks, "block"), n_parts
+    return d.repartition(min(n_blocks, MOST_PARTITIONS), "block"), n_parts
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -183,11 +185,23 @@ def bounded_broadcast_bytes(n_bytes: int, bound: int, what: str) -> None:
         raise ValueError(f"{what}: {n_bytes} bytes to broadcast, the bound is {bound}")
 
 
+STAR_CUTS = 16
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least v of their u; a u with many edges is cut by v, so no task holds all of them."""
+    cut = F.pmod(F.xxhash64("v"), F.lit(STAR_CUTS)).cast("int")
+    e = edges.withColumn("cut", cut)
+    least = e.groupBy("u", "cut").agg(F.min("v").alias("m"))
+    low = least.groupBy("u").agg(F.min("m").alias("m"))
+    return e.join(least.select("u", "cut").join(low, "u"), ["u", "cut"]).select("u", "v", "m")
+
+
 def connected(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): (node, component), component the smallest node.
 
     Alternating large-star and small-star over tables in the shared folder; every round keeps at most as many
-    edges as there were, a star's centre is only ever a group key, and nothing reaches the driver but two sums.
+    edges as there were, a star's edges are cut over tasks, and nothing reaches the driver but two sums.
     """
     e = scratch(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag
@@ -195,12 +209,10 @@ def connected(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFr
     last = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         )
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
         e = scratch(small, tag)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now[0] == 0 or tuple(now) == last:
