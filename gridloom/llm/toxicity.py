@@ -19,13 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm.common import bounded_broadcast_bytes, documents, scratch
 
 #: Labelled rows used for fitting, the first by a hash of doc_id: the documented bound of the sample.
 SAMPLE_ROWS = 8000
-#: Lexicon entries kept, the best by weight times frequency.
-LEXICON = 512
 #: Share of the toxic rows in which an entry occurs at least.
 LEAST_SHARE = 0.015
 STEMS = range(4, 9)
@@ -35,6 +34,9 @@ WORD = re.compile(r"[^\W_]+")
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes reported claimed word term sagte schrieb nannte zitierte wort dit écrit appelé mot citation dijo escribió llamó palabra cita".split())
 ADDRESS = frozenset("you your yours yourself du dich dein ihr euch tu toi vous votre ton te usted tú vosotros".split())
 QUOTES = "\"“”„«»‚‘’"
+#: A mark between two letters is an apostrophe; an opening one has a word after it only, a closing one a word before it.
+OPENING = re.compile(rf"(?<!\w)[{QUOTES}](?=\w)")
+CLOSING = re.compile(rf"(?<=[\w.,;!?…])[{QUOTES}](?!\w)")
 
 
 class Levenshtein:
@@ -167,9 +169,9 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             places = [m.start() for m in WORD.finditer(low)]
         weight, kind = hit
         around = words[max(0, k - WINDOW) : k + WINDOW + 1]
-        before = low[max(0, places[k] - 60) : places[k]]
-        after = low[places[k] + len(w) : places[k] + len(w) + 60]
-        marks = (sum(map(before.count, QUOTES)) % 2 == 1) and any(q in after for q in QUOTES)
+        s, e = places[k], places[k] + len(w)
+        before, after = max(0, s - 60), min(len(low), e + 60)
+        marks = len(OPENING.findall(low, before, s + 1)) > len(CLOSING.findall(low, before, s)) and CLOSING.search(low, e - 1, after) is not None
         quotation = 0.6 * marks + 0.3 * any(x in REPORTING for x in around)
         address = 0.3 * any(x in ADDRESS for x in around)
         hits += 1
@@ -200,7 +202,7 @@ def one_of_each(rows: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]
     return kept
 
 
-def learn_lexicon(rows: list[tuple[int, list[str]]], size: int = LEXICON) -> list[tuple[str, bool, float]]:
+def learn_lexicon(rows: list[tuple[int, list[str]]]) -> list[tuple[str, bool, float]]:
     """Entries (term, is a stem, weight) from (label, distinct words): log odds of document frequencies, smoothed."""
     counts = (Counter(), Counter())
     totals = [0, 0]
@@ -229,14 +231,15 @@ def learn_lexicon(rows: list[tuple[int, list[str]]], size: int = LEXICON) -> lis
         if weight >= 1.5:
             found.append((weight * math.sqrt(a), unit, weight))
     found.sort(key=lambda x: (-x[0], x[1]))
-    stems = {t: w for _, (t, stem), w in found[:size] if stem}
+    stems = {t: w for _, (t, stem), w in found if stem}
     covered = lambda t, w: any(stems.get(t[:n], 0) > w - 1 for n in STEMS if n < len(t))  # noqa: E731  a shorter stem says as much
-    return [(t, stem, w) for _, (t, stem), w in found[:size] if not covered(t, w)]
+    return [(t, stem, w) for _, (t, stem), w in found if not covered(t, w)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights (the first is the intercept), means and scales, by Newton's method with an L2 penalty."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-9, scale, 1.0)  # a feature without variation gets no weight
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
     w = np.zeros(z.shape[1])
     ridge = np.diag([0.01] + [penalty] * x.shape[1])
@@ -283,8 +286,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return json.dumps({"entries": entries, "w": w.tolist(), "mean": mean.tolist(), "scale": scale.tolist()})
 
 
-def score_toxicity(docs: DataFrame, model: str) -> DataFrame:
-    """Adds score (0 to 1) to docs, whole texts; null and empty texts get the model's score of no words."""
+def score_toxicity(docs: DataFrame, model: str, name: str = "score") -> DataFrame:
+    """Adds a column `name` (0 to 1) to docs, whole texts; a column that already has that name is replaced by it.
+
+    Null and empty texts get the model's score of no words.  Equal texts have equal scores, rows that repeat stay
+    repeated, and an empty table stays empty.  All other columns pass through.
+    """
     bounded_broadcast_bytes(len(model), 1 << 20, "toxicity model")
 
     def scored(batches):
@@ -294,10 +301,10 @@ def score_toxicity(docs: DataFrame, model: str) -> DataFrame:
         for b in batches:
             x = np.array([features(t or "", lexicon) for t in b.column("text").to_pylist()]).reshape(-1, len(mean))
             p = 1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / scale) @ w[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, name])
 
-    kept = docs.drop("score")
-    return kept.mapInArrow(scored, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double")
+    kept = docs.drop(name)
+    return kept.mapInArrow(scored, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
