@@ -21,9 +21,15 @@ def without_ids(docs: DataFrame, dropped: DataFrame, tag: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Documents that score below the threshold."""
+    """Documents that score below the threshold; null and empty texts score as no words do.
+
+    Rows that repeat stay or go together; all columns stay as they are, one named score too; an empty table stays empty.
+    """
     model = toxicity.train(docs, labels)
-    return toxicity.score_toxicity(docs, model).where(F.col("score") < threshold).select(docs.columns)
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score_toxicity(docs, model, name).where(F.col(f"`{name}`") < threshold).drop(name)
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -41,19 +47,27 @@ def drop_exact_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     return keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(docs.columns)
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of every group linked by shingle overlap."""
-    found = jaccard_join.jaccard_components(docs)
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the smallest id of every group linked by overlap of k-word shingles.
+
+    Null, empty and wordless texts, and rows without an id, stay; so do rows that repeat the id that stays.  Columns stay
+    as they are; an empty table stays empty.
+    """
+    found = jaccard_join.jaccard_components(docs, k, percent)
     return without_ids(docs, found.where("component_id <> doc_id"), "near")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a verified test item."""
+    """Documents without a verified test item; null and empty texts have none.
+
+    Rows that repeat stay or go together; all columns stay as they are; an empty table, or an empty benchmark, changes
+    nothing.
+    """
     for group in decontamination.item_groups(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def clean(batches, shared=shared):
-            index = decontamination.Index(shared.value)
+            index = decontamination.Index(shared.value[0], statistics=shared.value[1])
             for b in batches:
                 yield b.filter(pa.array([not index.search(t or "") for t in b.column("text").to_pylist()], pa.bool_()))
 

@@ -1,6 +1,7 @@
 """Operators against brute force, on a table with nulls, empty and long texts, ties, repeated rows and odd columns."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -231,6 +232,15 @@ def test_sharding(docs, none):
     for source, total in Counter(r.source for r in rows).items():
         per = Counter(r.shard for r in rows if r.source == source)
         assert all(abs(per[s] - total / 7) <= 2 for s in range(7)), source
+    # by hand: ranks by source in the order of text digest and id digest, then all rows by fraction
+    digest = lambda x: hashlib.md5(b"17:" + x).hexdigest()
+    sources = defaultdict(list)
+    for i, t, source, *_ in corpus():
+        sources["" if source is None else "s" + source].append((digest((t or "").encode()), digest(b"" if i is None else str(i).encode()), -1 if i is None else i, zlib.crc32((t or "").encode())))
+    line = sorted(((2 * k + 1) / (2.0 * len(of)), name, *row) for name, of in sources.items() for k, row in enumerate(sorted(of)))
+    place = [k * 7 // len(line) for k in range(len(line))]
+    want = Counter((row[-2] if row[-2] >= 0 else None, row[-1], place[k], k - place.index(place[k])) for k, row in enumerate(line))
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in rows) == want
     again = sharding.interleave(docs, 7, bucket_rows=64)
     assert {(r.doc_id, r.text_crc32, r.shard) for r in again.collect()} == {(r.doc_id, r.text_crc32, r.shard) for r in rows}
     assert sharding.interleave(none).count() == 0
@@ -355,8 +365,12 @@ def test_decontamination(spark, docs, none):
     want |= {(72, 5), (73, 6)}
     table = spark.createDataFrame([(d, t, "s", 1, 1, 0.0, 1) for d, t in texts], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
+    scored = []
     for bound in (1 << 20, 2000):
-        assert set(both(decontamination.contaminated(table, bench, index_bytes=bound), "doc_id", "item_id")) == want
+        found = decontamination.contaminated(table, bench, index_bytes=bound).cache()
+        assert set(both(found, "doc_id", "item_id")) == want
+        scored.append(both(found.selectExpr("*", "round(score, 9) as s"), "doc_id", "item_id", "s", "question_overlap", "answer_overlap", "at_word"))
+    assert scored[0] == scored[1]  # the cut into indexes changes nothing
     assert decontamination.contaminated(none, bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
@@ -489,12 +503,60 @@ def test_toxicity(spark, none):
     assert toxicity.score_toxicity(none, toxicity.train(none, table.limit(0))).count() == 0
 
 
+def test_toxicity_of_odd_rows(spark):
+    """Repeated rows score alike, a long text is read to its end, a column named score is replaced, others pass."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    calm = lambda k: " ".join(word() for _ in range(10 + k % 40))
+    rows = [(k, calm(k // 2) + (" zorkish vexling" if k % 2 else " plain talk"), "s", 1, 1, 0.5, 1) for k in range(200)]
+    train = spark.createDataFrame(rows, SCHEMA)
+    rows += [(300, "plain talk " * 100000, None, 1, 1, 0.5, 1), (301, "plain talk " * 100000 + "zorkish " * 3, None, 1, 1, 0.5, 1), (3, *rows[3][1:]), (302, rows[3][1], None, 1, 1, 0.5, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.train(train, spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int"))
+    got = toxicity.score_toxicity(docs, model)
+    assert sorted(got.columns) == sorted(docs.columns)
+    score = defaultdict(set)
+    for r in got.collect():
+        score[r.doc_id].add(r.score)
+    assert all(len(s) == 1 for s in score.values()) and score[3] == score[302] and score[300] != score[301]
+    named = toxicity.score_toxicity(docs, model, "mine").collect()
+    assert all(r.score == 0.5 and {r.mine} == score[r.doc_id] for r in named)
+
+
+def test_apostrophes_are_no_quotation():
+    lexicon = toxicity.Lexicon([("zorkish", False, 6.0)])
+    for text in ("it’s a zorkish thing, isn’t it", "it's zorkish isn't it"):
+        assert toxicity.features(text, lexicon)[6] == 0
+    for text in ("he wrote ‘a zorkish thing’ there", "er sagte „zorkish“ dazu", "il dit «zorkish» ici", "er sagte »zorkish« dazu"):
+        assert toxicity.features(text, lexicon)[6] == 1, text
+
+
 def test_quotation_counts_less():
     lexicon = toxicity.Lexicon([("zorkish", False, 6.0)])
     plain, quoted = toxicity.features("you are zorkish today", lexicon), toxicity.features('he wrote "so zorkish" there', lexicon)
     assert plain[0] > quoted[0] and quoted[6] == 1
 
 
+def test_crf_adds_spans_on_a_table(spark):
+    texts = ["call (212) 555-1234 now", "host 10[.]4[.]3[.]4 up", "mail user1 [at] mail1 [dot] com please", "in 1999 and 2004 we had 12345 items", "me@x.org and 4.4.4.4", None]
+    texts += [" ; ".join(f"0044 123 456 1{k:03d}" for k in range(n)) for n in (10, 200, 3000)]
+    rows = {r.doc_id: r for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[k].spans for k in range(6)] == ["phone:5:19", "ip:5:19", "email:5:31", "", "email:0:8,ip:13:20", ""]
+    assert [rows[k].n_spans for k in (6, 7, 8)] == [10, 200, 3000]
+    assert all(rows[k].n_phone == 0 for k in (0, 6, 7, 8))  # base counts are of base spans
+
+
+def test_crf_on_generated_text():
+    crf = pii.SemiCrf(np.array(json.loads(pii.default_weights())))
+    hits, found, gold = Counter(), Counter(), Counter()
+    for text, want in pii.examples(99, 300):
+        got = set(pii.find_pii(text, crf)[1])
+        found.update(k for k, *_ in got)
+        gold.update(k for k, *_ in want)
+        hits.update(x[0] for x in want if x in got)
+    assert all(hits[k] >= 0.8 * gold[k] and hits[k] >= 0.9 * found[k] for k in pii.KINDS)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return piece_sampling.load_pieces(piece_sampling.default_model())

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
+import random
 import re
 
 import duckdb
@@ -52,14 +53,14 @@ def test_near_copies(run):
     sets = {}
     for i, r in run[1].items():
         w = WORD.findall(r[1].lower() if r[1].isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), r[1]))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
     root = {i: i for i in sets}
     top = lambda i: i if root[i] == i else top(root[i])
     ids = sorted(sets)
     for k, i in enumerate(ids):
         for j in ids[:k]:
             x, y = sets[i], sets[j]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     assert set(run[2]) == {i for i in ids if top(i) == i}
@@ -80,6 +81,32 @@ def test_filters_with_odd_rows(spark):
     assert {r.doc_id for r in near.collect()} == {None, 1, 2, 3, 4}
 
 
+def test_row_filters_with_odd_rows(spark):
+    """Toxic and contaminated rows go; a column named score keeps its values; nulls, repeats and a long text pass."""
+    schema = "doc_id long, text string, score double, _toxicity int, item_id long"
+    item = " ".join(f"item{k}" for k in range(30))
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    rows = [(k, " ".join([word() for _ in range(10 + k // 2 % 40)] + ["zorkish" if k % 2 else "calm"] * 3), 7.25, k, 1) for k in range(1, 201)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 201)], "doc_id long, toxic int")
+    rows += [(None, "a calm remark", 0.0135, 0, 1)] * 2 + [(250, None, None, None, None), (251, "", 1.0, 1, 1), (252, "calm words " * 100000, 2.0, 2, 2)]
+    docs = spark.createDataFrame(rows, schema)
+    got = stages.drop_toxic(docs, labels)
+    assert got.columns == docs.columns
+    kept = sorted(map(str, map(tuple, got.collect())))
+    assert kept == sorted(str(r) for r in rows if not r[1] or "zorkish" not in r[1])
+    assert stages.drop_toxic(docs.limit(0), labels).count() == 0
+    rows = rows[150:]
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    rows += [(260, f"ahead {item} behind", 3.0, 3, 3)] * 2 + [(261, "calm words " * 100000 + item, 3.0, 3, 3)]
+    docs = spark.createDataFrame(rows, schema)
+    clean = stages.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(map(str, map(tuple, clean.collect()))) == sorted(str(r) for r in rows if r[0] not in (260, 261))
+    assert stages.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+    assert stages.drop_contaminated(docs.limit(0), bench).count() == 0
+
+
 def test_whole_run(spark, run):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == set(run[3])
