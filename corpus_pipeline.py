@@ -28,8 +28,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation a document: doc_id, sample, n_pieces, log_prob, value, inclusion, round_trip, ids."""
-    return piece_sampling.sample_segmentations(docs, k=1)
+    """Sampled segmentations of each document: doc_id, sample, n_pieces, log_prob, value, inclusion, round_trip, ids."""
+    return piece_sampling.sample_segmentations(docs)
 
 
 STAGES = [
