@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.engine import Engine, materialize
-from gridloom.functions.dialect import register_functions
+from gridloom.functions.dialect import register_functions, translate
 from gridloom.plans.queries_sql import CUBE, EMB, GRID, TABLES
 from gridloom.session import ensure_importable, shared_dir
 from gridloom.sources.grid import read_grid
@@ -58,7 +58,7 @@ def _over_tables(text: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables(spark, sf_dir)
         register_functions(spark)
-        return spark.sql(text)
+        return spark.sql(translate(text))
 
     return query
 

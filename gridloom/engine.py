@@ -8,9 +8,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from gridloom.functions.dialect import register_functions
+from gridloom.functions.dialect import register_functions, translate
 from gridloom.iostats import IoStats, planned_io
-from gridloom.plans.metadata import answer_from_metadata, needed_columns
+from gridloom.plans.metadata import answer_from_metadata, needed_columns, run_with_metrics, scan_filters
 from gridloom.sources.grid import metadata, plan, read_grid, register
 
 EXTERNAL = re.compile(r"^\s*CREATE\s+EXTERNAL\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?(\w+)\s+STORED\s+AS\s+(\w+)\s+LOCATION\s+'([^']+)'\s*;?\s*$", re.I)
@@ -58,10 +58,10 @@ class Engine:
         if text.lower().startswith("\\d"):
             return self.spark.sql("SHOW TABLES")
         if m := EXPLAIN.match(text):
-            return self._analyze(m[2]) if m[1].upper() == "ANALYZE" else self.spark.sql(f"EXPLAIN EXTENDED {m[2]}")
+            return self._analyze(translate(m[2])) if m[1].upper() == "ANALYZE" else self.spark.sql(f"EXPLAIN EXTENDED {translate(m[2])}")
         if SCHEMA_VIEW.search(text):
             text = self._with_information_schema(text)
-        return self._optimized(text)
+        return self._optimized(translate(text))
 
     def _message(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(text,)], "result string")
@@ -97,7 +97,8 @@ class Engine:
         self.last_io = IoStats()
         for name, columns in narrowed.items():
             meta = metadata(self.stores[name])
-            self.last_io += planned_io(meta, columns, plan(meta, columns, []))
+            for filters in scan_filters(slim, self.stores[name]) or [[]]:
+                self.last_io += planned_io(meta, columns, plan(meta, columns, filters))
         return slim if slim.schema == df.schema else df
 
     def _with_information_schema(self, text: str) -> str:
@@ -116,12 +117,11 @@ class Engine:
         return SCHEMA_VIEW.sub(lambda m: f"_information_{m[1].lower()}", text)
 
     def _analyze(self, text: str) -> DataFrame:
-        """Runs the query and returns its executed plan with rows, time and planned I/O."""
+        """Runs the query and returns the plan that ran, with its metrics, rows, time and the I/O of its scans."""
         began = time.perf_counter()
         df = self._optimized(text)
-        rows = df.count()
+        rows, told = run_with_metrics(df)
         self.last_io.seconds = time.perf_counter() - began
-        told = df._jdf.queryExecution().toString()
         schema = T.StructType([T.StructField("plan_type", T.StringType()), T.StructField("plan", T.StringType())])
         return self.spark.createDataFrame([("Plan with Metrics", told), ("Statistics", self.last_io.line(rows))], schema)
 

@@ -112,7 +112,12 @@ TABLES = {
     "table_string_predicates": ("SELECT p_partkey FROM part WHERE startswith(p_type, 'S') OR contains(p_name, 'e') AND NOT endswith(p_brand, '1') OR p_name LIKE '%a%b'", "SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') OR contains(p_name, 'e') AND NOT ends_with(p_brand, '1') OR p_name LIKE '%a%b'"),
     "table_regex": ("SELECT doc_id, regexp_replace(text, '[aeiou]+', '_') AS r, regexp_extract(text, '[0-9]+', 0) AS d, text RLIKE '[0-9]{4}' AS l FROM documents", "SELECT doc_id, regexp_replace(text, '[aeiou]+', '_', 'g') AS r, regexp_extract(text, '[0-9]+', 0) AS d, regexp_matches(text, '[0-9]{4}') AS l FROM documents"),
     "table_date": ("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_format(date_trunc('MONTH', o_orderdate), 'yyyy-MM-dd') AS t, date_format(o_orderdate, 'yyyy-MM') AS f, CAST(date_part('day', o_orderdate) AS INT) AS d FROM orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS t, strftime(o_orderdate, '%Y-%m') AS f, CAST(date_part('day', o_orderdate) AS INT) AS d FROM orders"),
-    "table_date_bin": ("SELECT to_unixtime(date_bin(900, ts)) AS t, count(*) AS c FROM events GROUP BY 1", "SELECT CAST(floor(epoch_us(ts) / 1000000 / 900) * 900 AS BIGINT) AS t, count(*) AS c FROM events GROUP BY 1"),
+    "table_dialect_array": ("SELECT n_nationkey, array_has(make_array(1.5D, 2D), n_nationkey % 3) AS h, array_has_any(make_array(n_nationkey, 7), make_array(7L)) AS a, array_has_all(generate_series(1, 5), make_array(n_regionkey)) AS e, array_length(generate_series(1, n_regionkey + 1)) AS n, array_to_string(make_array(n_nationkey, n_regionkey), '-') AS s FROM nation", "SELECT n_nationkey, n_nationkey % 3 IN (2) AS h, true AS a, n_regionkey BETWEEN 1 AND 5 AS e, n_regionkey + 1 AS n, concat_ws('-', n_nationkey, n_regionkey) AS s FROM nation"),
+    "table_dialect_string": ("SELECT n_nationkey, starts_with(n_name, 'A') AS a, ends_with(n_name, 'A') AS e, sha256(n_name) AS s, hex(digest(n_name, 'sha256')) AS d, strpos(n_name, 'A') AS p FROM nation", "SELECT n_nationkey, starts_with(n_name, 'A') AS a, ends_with(n_name, 'A') AS e, sha256(n_name) AS s, upper(sha256(n_name)) AS d, strpos(n_name, 'A') AS p FROM nation"),
+    "table_dialect_regex": ("SELECT p_partkey, array_to_string(regexp_match(p_brand, '([A-Za-z]+)#([0-9])'), '|') AS m, array_to_string(regexp_match(p_type, '[A-Z]+'), '|') AS w FROM part", "SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '([A-Za-z]+)#([0-9])') THEN regexp_extract(p_brand, '([A-Za-z]+)#([0-9])', 1) || '|' || regexp_extract(p_brand, '([A-Za-z]+)#([0-9])', 2) END AS m, CASE WHEN regexp_matches(p_type, '[A-Z]+') THEN regexp_extract(p_type, '[A-Z]+') END AS w FROM part"),
+    "table_dialect_types": ("SELECT l_orderkey, l_linenumber, trunc(l_extendedprice, 1) AS t, trunc(-l_quantity / 7) AS q, arrow_cast(l_quantity, 'Int64') AS c, map_extract(map('a', l_linenumber), 'a')[0] AS m, get_field(named_struct('x', l_partkey), 'x') AS f FROM lineitem", "SELECT l_orderkey, l_linenumber, trunc(l_extendedprice * 10) / 10 AS t, trunc(-l_quantity / 7) AS q, CAST(l_quantity AS BIGINT) AS c, l_linenumber AS m, l_partkey AS f FROM lineitem"),
+    "table_date_bin_origin": ("SELECT to_unixtime(date_bin(INTERVAL '7 hours', ts, TIMESTAMP '2030-01-01 01:30:00')) AS t, count(*) AS c FROM events GROUP BY 1", "SELECT CAST(epoch(time_bucket(INTERVAL '7 hours', ts, TIMESTAMP '2030-01-01 01:30:00')) AS BIGINT) AS t, count(*) AS c FROM events GROUP BY 1"),
+    "table_date_bin": ("SELECT to_unixtime(date_bin(INTERVAL '15 minutes', ts)) AS t, count(*) AS c FROM events GROUP BY 1", "SELECT CAST(floor(epoch_us(ts) / 1000000 / 900) * 900 AS BIGINT) AS t, count(*) AS c FROM events GROUP BY 1"),
     "table_array": ("SELECT vec_id, size(embedding) AS n, array_contains(sequence(1, 5), 3) AS h, array_join(slice(array('a', 'b', 'c'), 2, 2), '-') AS j, round(element_at(embedding, 1), 4) AS f, array_has_all(array('a', 'b'), array('a')) AS k FROM embeddings", "SELECT vec_id, len(embedding) AS n, list_contains(range(1, 6), 3) AS h, array_to_string(['a', 'b', 'c'][2:3], '-') AS j, round(embedding[1], 4) AS f, list_has_all(['a', 'b'], ['a']) AS k FROM embeddings"),
     "table_unnest": ("SELECT vec_id, pos, round(v, 4) AS v FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, v", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, round(unnest(embedding), 4) AS v FROM embeddings"),
     "table_map_struct": ("SELECT n_nationkey, element_at(map('k', n_name), 'k') AS m, named_struct('a', n_regionkey).a AS s FROM nation", "SELECT n_nationkey, map(['k'], [n_name])['k'] AS m, struct_pack(a := n_regionkey).a AS s FROM nation"),

@@ -15,10 +15,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (local runs)."""
+    """spark.checkpoint.dir, or a folder of our own where it is unset and all runs in one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _folders:
         _folders[key] = "file://" + tempfile.mkdtemp(prefix="gridloom-")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 
 from gridloom.engine import Engine
+from gridloom.functions.dialect import translate
 from gridloom.iostats import format_bytes
 from gridloom.shell import Shell, hint
 from gridloom.sources.codec import blosc_decode, blosc_encode, decode, encode
@@ -217,6 +218,26 @@ def test_missing_chunks_are_fill(tmp_path):
     assert set(flat(path)["v"].tolist()) == {7}
 
 
+def test_io_follows_the_filters(weather):
+    """One chunk of seven is read for one time; a plan with metrics is the one that ran."""
+    weather.sql("SELECT * FROM weather").collect()
+    whole = weather.last_io.data_bytes
+    weather.sql("SELECT * FROM weather WHERE time = 3").collect()
+    assert whole > 0 and weather.last_io.data_bytes * 7 == whole
+    weather.sql("SELECT * FROM weather WHERE 5 <= time AND lat IN (1, 2)").collect()
+    assert weather.last_io.data_bytes * 7 == whole * 2
+    rows = {r.plan_type: r.plan for r in weather.sql("EXPLAIN ANALYZE SELECT lat, sum(temperature) AS s FROM weather WHERE time = 3 GROUP BY lat").collect()}
+    assert "numOutputRows" in rows["Plan with Metrics"] and "HashAggregate" in rows["Plan with Metrics"]
+
+
+def test_translate():
+    assert translate("SELECT 'trunc(1.5, 1)' AS a, `sha256(x)` -- make_array(1)") == "SELECT 'trunc(1.5, 1)' AS a, `sha256(x)` -- make_array(1)"
+    assert translate("SELECT array_has(make_array(1, 2), (1))") == "SELECT array_contains(array(1, 2), (1))"
+    for bad in ("SELECT date_bin(INTERVAL '1 month', t)", "SELECT arrow_cast(1, 'X')", "SELECT digest(x, 'crc')", "SELECT array_has(a)", "SELECT trunc(1"):
+        with pytest.raises(ValueError):
+            translate(bad)
+
+
 def test_save_grid(spark, tmp_path):
     df = spark.createDataFrame([(1, 10, 0.5), (1, 20, 1.5), (3, 10, 2.5)], "a int, b int, v double")
     path = save_grid(df, f"file://{tmp_path}/g.zarr", ["a", "b"], ["v"], [1, 2])
