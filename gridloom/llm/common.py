@@ -64,6 +64,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in as many partitions as there are cores at least: a table of few row groups would keep most of them
+    idle in operators without a shuffle of their own."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs._jdf.queryExecution().toRdd().getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"])
 

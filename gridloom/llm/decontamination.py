@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import documents
+from gridloom.llm.common import spread_documents
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -227,4 +227,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spread_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gridloom.llm.common import documents, mix
+from gridloom.llm.common import mix, spread_documents
 
 SPACE = "▁"
 ALPHA = 1.0
@@ -519,4 +519,4 @@ def decode_segmentations(rows: DataFrame, model_path: str | None = None, column:
 
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(documents(spark, sf_dir), digest=True)
+    return sample_segmentations(spread_documents(spark, sf_dir), digest=True)

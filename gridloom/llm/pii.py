@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm.common import documents
+from gridloom.llm.common import spread_documents
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
@@ -331,4 +331,4 @@ def detect(docs: DataFrame, weights: str | None = None) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(documents(spark, sf_dir))
+    return detect(spread_documents(spark, sf_dir))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import bounded_broadcast_bytes, documents, scratch
+from gridloom.llm.common import bounded_broadcast_bytes, scratch, spread_documents
 
 #: Labelled rows used for fitting, the first by a hash of doc_id: the documented bound of the sample.
 SAMPLE_ROWS = 8000
@@ -308,7 +308,7 @@ def score_toxicity(docs: DataFrame, model: str, name: str = "score") -> DataFram
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = spread_documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
