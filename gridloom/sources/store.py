@@ -13,17 +13,31 @@ def is_remote(path: str) -> bool:
     return path.lower().startswith(REMOTE)
 
 
+#: Environment variables that name credentials of the usual chain besides keys.
+S3_CHAIN = ("AWS_PROFILE", "AWS_ROLE_ARN", "AWS_WEB_IDENTITY_TOKEN_FILE", "AWS_CONTAINER_CREDENTIALS_RELATIVE_URI", "AWS_CONTAINER_CREDENTIALS_FULL_URI", "AWS_SHARED_CREDENTIALS_FILE")
+
+
+def unsigned(options: dict, has_keys: bool, names: tuple[str, ...], file: str) -> bool:
+    """Whether requests go without credentials; an instance's own role needs anonymous=false, as nothing here shows it."""
+    told = str(options.get("anonymous", "")).lower()
+    if told in ("true", "false"):
+        return told == "true"
+    return not (has_keys or any(os.environ.get(n) for n in names) or os.path.exists(os.path.expanduser(file)))
+
+
 def filesystem(path: str, options: dict | None = None) -> tuple[pafs.FileSystem, str]:
-    """(file system, path in it).  Credentials come from options or the environment; gs:// is tried anonymously first."""
+    """(file system, path in it).  The option `anonymous` (true or false) decides; without it, keys in options or the
+    environment, then any other source the usual chain names (profile, role, token, instance or container), else none.
+    """
     options = {k.lower(): v for k, v in (options or {}).items()}
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     if path.startswith(("s3://", "s3a://")):
         kind = {k: options.get(k) or os.environ.get(e) for k, e in (("access_key", "AWS_ACCESS_KEY_ID"), ("secret_key", "AWS_SECRET_ACCESS_KEY"), ("session_token", "AWS_SESSION_TOKEN"), ("region", "AWS_DEFAULT_REGION"), ("endpoint_override", "AWS_ENDPOINT_URL"))}
         kind = {k: v for k, v in kind.items() if v}
-        return pafs.S3FileSystem(anonymous="access_key" not in kind, **kind), path.split("://", 1)[1]
+        return pafs.S3FileSystem(anonymous=unsigned(options, "access_key" in kind, S3_CHAIN, "~/.aws/credentials"), **kind), path.split("://", 1)[1]
     if path.startswith(("gs://", "gcs://")):
-        anonymous = not (options.get("credentials") or os.environ.get("GOOGLE_APPLICATION_CREDENTIALS"))
+        anonymous = unsigned(options, bool(options.get("credentials")), ("GOOGLE_APPLICATION_CREDENTIALS",), "~/.config/gcloud/application_default_credentials.json")
         return pafs.GcsFileSystem(anonymous=anonymous), path.split("://", 1)[1]
     if "://" in path:
         return pafs.FileSystem.from_uri(path)

@@ -14,7 +14,7 @@ from gridloom.shell import Shell, hint
 from gridloom.sources.codec import blosc_decode, blosc_encode, decode, encode
 from gridloom.sources.grid import matching, metadata, plan, read_boxes, read_grid
 from gridloom.sources.meta import StoreError, discover, parse_v2_dtype
-from gridloom.sources.store import Store, is_remote
+from gridloom.sources.store import S3_CHAIN, Store, is_remote, unsigned
 from gridloom.sources.writer import save_grid, write_array, write_group, write_store
 
 BLOSC = [{"name": "blosc", "cname": "lz4", "clevel": 5, "shuffle": "shuffle", "typesize": 8, "blocksize": 0}]
@@ -262,6 +262,15 @@ def test_shell(weather):
     assert hint("sel", ["SELECT 1", "drop"]) == "ECT 1" and hint("s", ["SELECT 1"]) is None
 
 
+def test_credentials_of_stores(monkeypatch):
+    for name in S3_CHAIN:
+        monkeypatch.delenv(name, raising=False)
+    ask = lambda options, keys=False: unsigned(options, keys, S3_CHAIN, "/no/such/file")
+    assert ask({}) and not ask({}, True) and not ask({"anonymous": "false"}) and ask({"anonymous": "TRUE"}, True)
+    monkeypatch.setenv("AWS_PROFILE", "mine")
+    assert not ask({})
+
+
 def test_small_things():
     assert [format_bytes(n) for n in (12, 6700, 13916)] == ["12 B", "6.70 KB", "13.92 KB"]
     assert is_remote("s3://b/x") and not is_remote("/x") and not is_remote("file:///x")
