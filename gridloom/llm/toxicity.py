@@ -40,33 +40,58 @@ CLOSING = re.compile(rf"(?<=[\w.,;!?…])[{QUOTES}](?!\w)")
 
 
 class Levenshtein:
-    """Automaton of the words within `most` edits of a word; states are sparse rows of the edit matrix."""
+    """Automaton of the words within `most` edits of a word.
+
+    A state is a first row of the edit matrix and, from it, the rows within `most`.  Moves depend on those, on which of
+    the next letters of the word are the read one, and on the rows left, so they are shared by all words.
+    """
+
+    moves: dict[tuple, tuple] = {}
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
+        self.size, self.most, self.width = len(word), most, 2 * most + 2
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.places[c] = self.places.get(c, 0) | 1 << i
 
     def start(self) -> tuple:
-        return tuple((i, i) for i in range(min(self.most, len(self.word)) + 1))
+        return 0, tuple((i, i) for i in range(min(self.most, self.size) + 1))
 
     def step(self, state: tuple, c: str) -> tuple:
+        first, rows = state
+        key = rows, (self.places.get(c, 0) >> first) & ((1 << self.width) - 1), min(self.size - first, self.width), self.most
+        move = self.moves.get(key)
+        if move is None:
+            move = self.moves[key] = self.moved(*key)
+        return first + move[0], move[1]
+
+    @staticmethod
+    def moved(rows: tuple, same: int, left: int, most: int) -> tuple:
         new: list[tuple[int, int]] = []
-        if state and state[0][0] == 0 and state[0][1] < self.most:
-            new.append((0, state[0][1] + 1))
-        known = dict(state)
-        for i, v in state:
-            if i == len(self.word):
+        if rows and rows[0][1] < most:
+            new.append((0, rows[0][1] + 1))
+        known = dict(rows)
+        for i, v in rows:
+            if i == left:
                 break
-            v += self.word[i] != c
+            v += not same >> i & 1
             if new and new[-1][0] == i:
                 v = min(v, new[-1][1] + 1)
             if i + 1 in known:
                 v = min(v, known[i + 1] + 1)
-            if v <= self.most:
+            if v <= most:
                 new.append((i + 1, v))
-        return tuple(new)
+        return (new[0][0], tuple((i - new[0][0], v) for i, v in new)) if new else (0, ())
+
+    def distance(self, state: tuple) -> int | None:
+        """Edits between the word and what was read, None if they are too many."""
+        first, rows = state
+        return rows[-1][1] if rows and first + rows[-1][0] == self.size else None
 
-    def accepts(self, state: tuple) -> bool:
-        return bool(state) and state[-1][0] == len(self.word)
+    def nearest_beginning(self, state: tuple) -> int | None:
+        """Least edits between a beginning of the word, not all of it, and what was read."""
+        first, rows = state
+        return min((v for i, v in rows if first + i < self.size), default=None)
 
 
 class Lexicon:
@@ -112,16 +137,15 @@ class Lexicon:
             node, state = stack.pop()
             for c, child in node.items():
                 if c == "" or c == "_":
-                    if c:  # a stem: some beginning of the word, not all of it
-                        d = min((v for i, v in state if i < len(word)), default=most + 1)
-                    else:
-                        d = state[-1][1] if automaton.accepts(state) else most + 1
+                    d = automaton.nearest_beginning(state) if c else automaton.distance(state)
+                    if d is None:
+                        continue
                     weight = (self.stems if c else self.words)[child]
                     if d <= self.edits(len(child)) and (best is None or (d, child, -weight) < (best[1], best[0], -best[2])):
                         best = (child, d, weight)
                 else:
                     after = automaton.step(state, c)
-                    if after:
+                    if after[1]:
                         stack.append((child, after))
         return best
 

@@ -472,9 +472,10 @@ def test_levenshtein_against_table():
         state = automaton.start()
         for c in b:
             state = automaton.step(state, c)
-        assert automaton.accepts(state) == (distance(a, b) <= 2)
-        if automaton.accepts(state):
-            assert state[-1][1] == distance(a, b)
+        edits = distance(a, b)
+        assert automaton.distance(state) == (edits if edits <= 2 else None)
+        shorter = min((distance(a[:k], b) for k in range(len(a))), default=9)
+        assert automaton.nearest_beginning(state) == (shorter if shorter <= 2 else None)
     lexicon = toxicity.Lexicon([("worthless", False, 6.0), ("idiot", False, 7.0), ("grub", True, 3.0)])
     assert lexicon.find("worthles")[1] == 2 and lexicon.find("idiott")[1] == 2 and lexicon.find("idiot") == (7.0, 0)
     assert lexicon.find("grubby")[1] == 1 and lexicon.find("grub") is None and lexicon.find("ideal") is None
