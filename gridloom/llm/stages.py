@@ -53,7 +53,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     Null, empty and wordless texts, and rows without an id, stay; so do rows that repeat the id that stays.  Columns stay
     as they are; an empty table stays empty.
     """
-    found = jaccard_join.jaccard_components(docs, k, percent)
+    found = jaccard_join.jaccard_components(docs, k, percent, count_links=False)
     return without_ids(docs, found.where("component_id <> doc_id"), "near")
 
 

@@ -177,13 +177,16 @@ def brute_components(rows, percent=85):
             if i is not None and j is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
                 lo, hi = sorted((top(i), top(j)))
                 root[hi] = lo
-    return Counter((i, len(s), None if i is None else top(i)) for i, s in sets)
+    linked = lambda a, b: None not in (a[0], b[0]) and a[1] and b[1] and 100 * len(a[1] & b[1]) >= percent * len(a[1] | b[1])
+    return Counter((i, len(s), None if i is None else top(i), sum(bool(linked((i, s), other)) for b, other in enumerate(sets) if b != a)) for a, (i, s) in enumerate(sets))
 
 
 @pytest.mark.parametrize("group", [jaccard_join.GROUP_SHINGLES, 150])
 def test_jaccard_components(docs, none, group):
     want = brute_components([(i, t) for i, t, *_ in corpus()])
-    assert both(jaccard_join.jaccard_components(docs, group_shingles=group), "doc_id", "n_shingles", "component_id") == want
+    assert both(jaccard_join.jaccard_components(docs, group_shingles=group), "doc_id", "n_shingles", "component_id", "n_links") == want
+    spanning = both(jaccard_join.jaccard_components(docs, group_shingles=group, count_links=False), "doc_id", "n_shingles", "component_id")
+    assert spanning == Counter(key[:3] for key in want.elements())
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
@@ -212,7 +215,41 @@ def test_divide_skip_against_all_pairs():
         return {frozenset(k for k in range(n) if top(k) == top(i)) for i in range(n)}
 
     links = [(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
-    assert links and classes(jaccard_join.divide_skip(sets)) == classes(links)
+    assert links and classes(jaccard_join.divide_skip(sets)[0]) == classes(links)
+    weight, side = np.arange(1, n + 1), np.arange(n) % 2
+    for sides in (None, side):
+        kept = [(i, j) for i, j in links if sides is None or side[i] != side[j]]
+        want = np.zeros(n, np.int64)
+        for i, j in kept:
+            want[i] += weight[j]
+            want[j] += weight[i]
+        for probe in (0, 10000, 10**9):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(jaccard_join, "PROBE", probe)
+                spanning, numbers = jaccard_join.divide_skip(sets, weight=weight, side=sides)
+            assert classes(spanning) == classes(kept) and (numbers == want).all()
+
+
+def test_chains_are_the_same_in_blocks():
+    r = np.random.default_rng(5)
+    key, size = r.integers(0, 6, 300).astype(np.uint64), r.integers(1, 400, 300)
+    node = np.arange(300)
+
+    def classes(*pairs):
+        root = list(range(300))
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for i, j in np.concatenate(pairs).tolist():
+            root[top(i)] = top(j)
+        return {frozenset(k for k in range(300) if top(k) == top(i)) for i in range(300)}
+
+    for percent in (85, 99):
+        at_once = jaccard_join.chains(key, node, size, size, percent)[-1]
+        parts = [jaccard_join.chains(key[b::7], node[b::7], size[b::7], size[b::7], percent) for b in range(7)]
+        last = jaccard_join.chains(*(np.concatenate([p[c] for p in parts]) for c in range(4)), percent)[-1]
+        assert classes(at_once) == classes(last, *(p[-1] for p in parts))
 
 
 def test_connected(spark):
