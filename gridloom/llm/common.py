@@ -103,16 +103,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """64-bit hash of a word, remembered; the memory is emptied at its bound."""
+    """64-bit hash of a word by seed, remembered; the memory is emptied at its bound."""
 
     limit = 1 << 20
 
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.limit:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
 

@@ -15,7 +15,7 @@ REGISTRY = {
     "op7_jaccard_join": ("jaccard_join", "op7_jaccard_join", "OP7_SQL"),
     "op8_window_dedup": ("window_dedup", "op8_window_dedup", "OP8_SQL"),
     "op9_piece_sampling": ("piece_sampling", "op9_piece_sampling", None),
-    "op10_sharding": ("sharding", "op10_sharding", None),
+    "op10_sharding": ("sharding", "op10_sharding", "OP10_SQL"),
 }
 
 

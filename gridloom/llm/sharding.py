@@ -88,3 +88,17 @@ def interleave(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_rows:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(documents(spark, sf_dir)).drop("source")
+
+
+OP10_SQL = """
+WITH crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, coalesce('s' || source, '') AS src, coalesce(text, '') AS t FROM documents),
+k AS (SELECT *, octet_length(encode(t)) + 8 AS size, md5('17:' || t) AS of_text, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS of_id,
+    list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM d),
+r AS (SELECT *, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+    row_number() OVER (PARTITION BY src ORDER BY of_text, of_id, doc_id) AS nth, count(*) OVER (PARTITION BY src) AS n FROM k, crc),
+a AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * nth - 1 AS DOUBLE) / (2 * n), src, of_text, of_id, doc_id) - 1 AS place, count(*) OVER () AS total FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 24 // total AS INTEGER) AS shard,
+    CAST(place - (place * 24 // total * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM a
+"""

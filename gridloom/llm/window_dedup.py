@@ -2,7 +2,8 @@
 
 The index is a log per part of the fingerprint space: sorted, immutable runs of (64-bit window hash, 32-bit check
 hash, first doc_id).  Documents come in batches of ascending doc_id.  A batch's sorted fingerprints are merge-joined
-with every run of history, matches are verified by the independent check hash, the batch becomes a run of its own,
+with every run of history, matches are verified by the check hash, which is made from other hashes of the words (so
+words that collide in one are told apart by the other), the batch becomes a run of its own,
 and runs of similar size are compacted.  A run is never changed, so a log can be stored and extended by later
 batches (`window_log`, `dedup_windows(..., log=...)`).
 
@@ -46,7 +47,7 @@ REPLY = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("part", pa.int
 REPLY_SQL = "block long, round int, part int, bits binary"
 LOG = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("firsts", pa.binary())])
 LOG_SQL = "part int, keys binary, checks binary, firsts binary"
-_memo = WordHash()
+_memo, _check_memo = WordHash(), WordHash(seed=1)
 
 
 class Block:
@@ -82,7 +83,8 @@ class Block:
         pick = np.arange(len(self.at)) if shared is None else np.flatnonzero(shared[self.inverse])
         at = self.at[pick]
         key = rolling(self.a, self.window, BASES[0])[at]
-        check = rolling(self.a, self.window, BASES[1])[at].astype(np.uint32)
+        others = np.concatenate([word_hashes(w, _check_memo) for w in self.words]) if self.words else self.a
+        check = rolling(others, self.window, BASES[1])[at].astype(np.uint32)
         order = np.lexsort((check, key))  # stable: documents stay ascending
         key, check = key[order], check[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])] if len(key) else np.zeros(0, bool)
@@ -178,7 +180,8 @@ def _batched(docs: DataFrame, batches: int, block_bytes: int = BLOCK_BYTES) -> t
     total, lo, hi = s[0], s[1] or 0, s[2] or 0
     per_batch = max(2, -(-total // (block_bytes * batches)))
     width = (hi - lo) // batches + 1
-    batch = F.expr(f"cast((coalesce(cast(doc_id as long), {hi}L) - {lo}L) div {width}L as long)")
+    wide = lambda c: c.cast("decimal(20,0)")  # noqa: E731 - the range of ids may exceed a long
+    batch = F.floor((wide(F.coalesce(doc_id, F.lit(hi))) - wide(F.lit(lo))) / wide(F.lit(str(width)))).cast("long")
     d = docs.select(
         (batch * per_batch + F.pmod(F.xxhash64("doc_id", "text"), F.lit(per_batch))).alias("block"),
         doc_id.alias("doc_id"),

@@ -111,6 +111,24 @@ def test_window_dedup(docs, none):
     assert window_dedup.dedup_windows(none).count() == 0
 
 
+def test_windows_of_words_that_collide(spark, monkeypatch):
+    """Words whose first hashes are equal are told apart; ids may be as far apart as longs can."""
+    class Colliding(type(window_dedup._memo)):
+        def __missing__(self, word):
+            return super().__missing__(b"same" if word in (b"left", b"right") else word)
+
+    line = [f"w{k}" for k in range(12)]
+    texts = [" ".join(line + [last]) for last in ("left", "right", "left")]
+    ids = [-(2**63), 5, 2**63 - 2]
+    monkeypatch.setattr(window_dedup, "_memo", Colliding())
+    block = window_dedup.Block(window_dedup.pa.table({"doc_id": ids, "text": texts}))
+    _, group, keys, _, _ = block.windows(None)
+    assert len(keys) == 2 and len(set(keys.tolist())) == 1 and sorted(np.bincount(group)) == [1, 2]
+    monkeypatch.undo()
+    got = window_dedup.dedup_windows(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {ids[0]: 0, ids[1]: 0, ids[2]: 13}
+
+
 def test_window_log_grows(docs):
     old, new = docs.where("doc_id < 40"), docs.where("doc_id >= 40")
     half = window_dedup.window_log(old.where("doc_id < 20"), 4)
