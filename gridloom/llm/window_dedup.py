@@ -83,7 +83,9 @@ class Block:
         pick = np.arange(len(self.at)) if shared is None else np.flatnonzero(shared[self.inverse])
         at = self.at[pick]
         key = rolling(self.a, self.window, BASES[0])[at]
-        others = np.concatenate([word_hashes(w, _check_memo) for w in self.words]) if self.words else self.a
+        others = np.zeros(len(self.a), np.uint64)  # of documents with such windows
+        for i in np.unique(self.doc[pick]).tolist():
+            others[self.start[i] : self.start[i + 1]] = word_hashes(self.words[i], _check_memo)
         check = rolling(others, self.window, BASES[1])[at].astype(np.uint32)
         order = np.lexsort((check, key))  # stable: documents stay ascending
         key, check = key[order], check[order]
