@@ -81,11 +81,14 @@ class Block:
     def windows(self, shared: np.ndarray | None) -> tuple[np.ndarray, ...]:
         """Of the windows under shared anchors: index, group, and per group key, check, first id; groups sorted."""
         pick = np.arange(len(self.at)) if shared is None else np.flatnonzero(shared[self.inverse])
-        at = self.at[pick]
-        key = rolling(self.a, self.window, BASES[0])[at]
-        others = np.zeros(len(self.a), np.uint64)  # of documents with such windows
-        for i in np.unique(self.doc[pick]).tolist():
-            others[self.start[i] : self.start[i + 1]] = word_hashes(self.words[i], _check_memo)
+        # only documents with such windows, laid end to end again
+        docs, place = np.unique(self.doc[pick], return_inverse=True)
+        moved = np.r_[0, np.cumsum(self.n[docs])[:-1]] - self.start[docs] if len(docs) else docs
+        at = self.at[pick] + moved[place]
+        nothing = np.zeros(0, np.uint64)
+        a = np.concatenate([nothing, *(self.a[self.start[i] : self.start[i + 1]] for i in docs.tolist())])
+        others = np.concatenate([nothing, *(word_hashes(self.words[i], _check_memo) for i in docs.tolist())])
+        key = rolling(a, self.window, BASES[0])[at]
         check = rolling(others, self.window, BASES[1])[at].astype(np.uint32)
         order = np.lexsort((check, key))  # stable: documents stay ascending
         key, check = key[order], check[order]
