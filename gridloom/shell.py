@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import sys
+import threading
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -19,7 +21,8 @@ HELP = """Statements end with the line.
   DESCRIBE t                                               columns of a table
   SELECT ...                                               query
   EXPLAIN [ANALYZE | VERBOSE] SELECT ...                   plans
-  help, quit, exit"""
+  help, quit, exit
+Tab completes a line from the history."""
 DDL = re.compile(r"^\s*(CREATE|DROP|ALTER)\b", re.I)
 #: SQL words that are shown in colour.
 KEYWORDS = "select from where group by order having limit offset join left right full inner outer on as and or not in between is null union all distinct case when then else end with recursive create external table stored location drop describe explain analyze verbose show over partition rows".split()
@@ -48,10 +51,39 @@ def hint(line: str, history: list[str]) -> str | None:
     return None
 
 
+@contextmanager
+def ticker(out, text, every: float = 0.2):
+    """Shows text() and the time behind a running statement, on terminals only."""
+    if not out.isatty():
+        yield
+        return
+    done, began = threading.Event(), time.perf_counter()
+
+    def show() -> None:
+        while not done.wait(every):
+            out.write(f"\r\x1b[K{text()} · {time.perf_counter() - began:.1f} s")
+            out.flush()
+
+    thread = threading.Thread(target=show, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+        out.write("\r\x1b[K")
+
+
 class Shell:
     def __init__(self, engine: Engine, out=sys.stdout):
         self.engine, self.out = engine, out
 
+    def progress(self) -> str:
+        """Tasks of the running stages."""
+        tracker = self.engine.spark.sparkContext.statusTracker()
+        stages = [s for s in map(tracker.getStageInfo, tracker.getActiveStageIds()) if s]
+        return f"{sum(s.numCompletedTasks for s in stages)} of {sum(s.numTasks for s in stages)} tasks"
+
     def run(self, line: str) -> bool:
         """Runs a line; False ends the session."""
         line = line.strip()
@@ -71,7 +103,8 @@ class Shell:
             if DDL.match(line):
                 print(f"OK ({time.perf_counter() - began:.3f} s)", file=self.out)
                 return True
-            rows = df.collect()
+            with ticker(self.out, self.progress):
+                rows = df.collect()
             io = self.engine.last_io
             io.seconds = time.perf_counter() - began
             print(table(df.columns, rows), file=self.out)
@@ -100,6 +133,10 @@ def main() -> None:
 
         if os.path.exists(HISTORY):
             readline.read_history_file(HISTORY)
+        past = lambda: [readline.get_history_item(k + 1) for k in range(readline.get_current_history_length())]
+        readline.set_completer_delims("")
+        readline.set_completer(lambda line, k: None if k or hint(line, past()) is None else line + hint(line, past()))
+        readline.parse_and_bind("tab: complete")
     except ImportError:
         readline = None
     while True:

@@ -1,4 +1,4 @@
-"""Chunk codecs: raw bytes, zlib, gzip, zstd, lz4, blosc (lz4, zstd, zlib; byte shuffle), crc32c trailers, transpose.
+"""Chunk codecs: raw bytes, zlib, gzip, zstd, lz4, blosc (lz4, zstd, zlib; byte and bit shuffle), crc32c trailers, transpose.
 
 The blosc frame is written and read from its published format: a 16-byte header (version, codec version, flags,
 type size, bytes, block size, compressed bytes), then block offsets, then per block one stream, or one a byte plane
@@ -47,12 +47,28 @@ def shuffle(data: bytes, width: int) -> bytes:
     return head + data[n * width :]
 
 
+def bit_unshuffle(data: bytes, width: int) -> bytes:
+    """Rows of the elements' bits, lowest first, back to elements; only blocks of a multiple of eight elements have them."""
+    n = len(data) // width
+    if n % 8:
+        return data
+    rows = np.frombuffer(data, np.uint8, n * width).reshape(8 * width, n // 8)
+    bits = np.unpackbits(rows, axis=1, bitorder="little")
+    return np.packbits(bits.T, axis=1, bitorder="little").tobytes() + data[n * width :]
+
+
+def bit_shuffle(data: bytes, width: int) -> bytes:
+    n = len(data) // width
+    if n % 8:
+        return data
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, n * width).reshape(n, width), axis=1, bitorder="little")
+    return np.packbits(bits.T, axis=1, bitorder="little").tobytes() + data[n * width :]
+
+
 def blosc_decode(data: bytes) -> bytes:
     _, _, flags, width, size, block, packed = struct.unpack("<BBBBIII", data[:16])
     if flags & MEMCPY:
         return bytes(data[16 : 16 + size])
-    if flags & BITSHUFFLE:
-        raise ValueError("blosc bit shuffle is not supported")
     name = BLOSC_CODECS.get(flags >> 5, "unknown")
     if not size:
         return b""
@@ -71,12 +87,14 @@ def blosc_decode(data: bytes) -> bytes:
             parts.append(bytes(data[at : at + length]) if length == each else _inflate(name, bytes(data[at : at + length]), each))
             at += length
         raw = b"".join(parts)
+        if flags & BITSHUFFLE:
+            raw = bit_unshuffle(raw, width)
         out.append(unshuffle(raw, width) if flags & SHUFFLE and width > 1 else raw)
     return b"".join(out)
 
 
-def blosc_encode(data: bytes, width: int, name: str = "lz4", shuffled: bool = True, block: int = 1 << 18) -> bytes:
-    """One or more unsplit blocks; a stream that does not shrink is stored."""
+def blosc_encode(data: bytes, width: int, name: str = "lz4", shuffled: bool | str = True, block: int = 1 << 18) -> bytes:
+    """One or more unsplit blocks, shuffled by bytes or by 'bits'; a stream that does not shrink is stored."""
     if name not in ("lz4", "zstd", "zlib"):
         raise ValueError(f"cannot write blosc with {name!r}")
     size = len(data)
@@ -84,12 +102,15 @@ def blosc_encode(data: bytes, width: int, name: str = "lz4", shuffled: bool = Tr
     pieces = []
     for s in range(0, size, block):
         raw = data[s : s + block]
-        raw = shuffle(raw, width) if shuffled and width > 1 else raw
+        if shuffled == "bits":
+            raw = bit_shuffle(raw, width)
+        elif shuffled and width > 1:
+            raw = shuffle(raw, width)
         packed = zlib.compress(raw) if name == "zlib" else _arrow("lz4_raw" if name == "lz4" else "zstd").compress(raw, asbytes=True)
         packed = packed if len(packed) < len(raw) else raw
         pieces.append(struct.pack("<i", len(packed)) + packed)
     code = {v: k for k, v in BLOSC_CODECS.items()}[name]
-    flags = (SHUFFLE if shuffled and width > 1 else 0) | NOT_SPLIT | code << 5
+    flags = (BITSHUFFLE if shuffled == "bits" else SHUFFLE if shuffled and width > 1 else 0) | NOT_SPLIT | code << 5
     at, starts = 16 + 4 * len(pieces), []
     for p in pieces:
         starts.append(at)
@@ -125,7 +146,8 @@ def encode(data: bytes, codecs: list[dict], width: int) -> bytes:
     for c in codecs:
         name = c["name"]
         if name == "blosc":
-            data = blosc_encode(data, width, c.get("cname", "lz4"), c.get("shuffle", True) not in (False, 0, "noshuffle"))
+            how = c.get("shuffle", True)
+            data = blosc_encode(data, width, c.get("cname", "lz4"), "bits" if how in (2, "bitshuffle") and how is not True else how not in (False, 0, "noshuffle"))
         elif name == "zlib":
             data = zlib.compress(data, c.get("level", 5))
         elif name == "gzip":

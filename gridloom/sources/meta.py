@@ -68,6 +68,7 @@ class ArrayMeta:
     prefix: str
     dimensions: tuple[str, ...] | None
     attributes: dict = field(default_factory=dict, hash=False, compare=False)
+    shards: Shards | None = None
 
     def key(self, cell: tuple[int, ...]) -> str:
         if self.prefix and not cell:
@@ -80,9 +81,13 @@ class ArrayMeta:
         data = store.get(self.key(cell))
         if data is None:
             return np.full(self.chunks, self.fill, self.dtype)
+        return self.unpack(data)
+
+    def unpack(self, data: bytes) -> np.ndarray:
         raw = decode(data, list(self.codecs), int(np.prod(self.chunks)) * self.dtype.itemsize)
         stored = [self.chunks[a] for a in self.order]
-        return np.frombuffer(raw, self.dtype, int(np.prod(stored))).reshape(stored).transpose(np.argsort(self.order))
+        cells = self.shards.assemble(raw, stored).astype(self.dtype, copy=False) if self.shards else np.frombuffer(raw, self.dtype, int(np.prod(stored))).reshape(stored)
+        return cells.transpose(np.argsort(self.order))
 
     def region(self, store: Store, box: tuple[tuple[int, int], ...]) -> np.ndarray:
         """The cells start <= i < stop of each axis, from the chunks that overlap them."""
@@ -100,6 +105,29 @@ class ArrayMeta:
         return out
 
 
+@dataclass(frozen=True)
+class Shards:
+    """Chunks that hold smaller chunks: an index of (offset, length) pairs at one end tells where each of them lies."""
+
+    inner: ArrayMeta
+    index: tuple[dict, ...]
+    order: str  # byte order of the index
+    first: bool
+
+    def assemble(self, raw: bytes, shape: list[int]) -> np.ndarray:
+        counts = [s // c for s, c in zip(shape, self.inner.chunks)]
+        size = 16 * int(np.prod(counts))
+        stored = size + 4 * len(self.index)  # a checksum has four bytes
+        index = decode(raw[:stored] if self.first else raw[len(raw) - stored :], list(self.index), size)
+        places = np.frombuffer(index, f"{self.order}u8").reshape(*counts, 2)
+        out = np.full(shape, self.inner.fill, self.inner.dtype)
+        for cell in np.ndindex(*counts):
+            at, length = map(int, places[cell])
+            if at != 2**64 - 1:  # the mark of a chunk that is not stored
+                out[tuple(slice(k * c, k * c + c) for k, c in zip(cell, self.inner.chunks))] = self.inner.unpack(raw[at : at + length])
+        return out
+
+
 @dataclass(frozen=True)
 class Coordinate:
     array: ArrayMeta
@@ -204,8 +232,19 @@ def _array_v3(store: Store, name: str) -> ArrayMeta | None:
         raise StoreError(f"array {name!r}: unknown data type {kind!r}")
     dtype = np.dtype(TYPES[kind][0])
     shape = tuple(m["shape"])
-    order, codecs, seen = tuple(range(len(shape))), [], False
-    for c in m.get("codecs") or [{"name": "bytes"}]:
+    fill, chunks = _fill(m.get("fill_value"), dtype), tuple(m["chunk_grid"]["configuration"]["chunk_shape"])
+    dtype, codecs, order, shards = _chain(name, m.get("codecs") or [{"name": "bytes"}], dtype, fill, chunks)
+    encoding = m.get("chunk_key_encoding") or {"name": "default"}
+    separator = (encoding.get("configuration") or {}).get("separator", "/" if encoding["name"] == "default" else ".")
+    names = m.get("dimension_names")
+    names = tuple(names) if names and all(names) else None
+    return ArrayMeta(name, dtype, shape, chunks, fill, codecs, order, separator, "c" if encoding["name"] == "default" else "", names, m.get("attributes") or {}, shards)
+
+
+def _chain(name: str, chain: list[dict], dtype: np.dtype, fill, chunks: tuple[int, ...]) -> tuple:
+    """Byte order, bytes-to-bytes codecs, order of axes and shards of a chunk's codecs."""
+    order, codecs, shards, seen = tuple(range(len(chunks))), [], None, False
+    for c in chain:
         config = c.get("configuration") or {}
         if c["name"] == "transpose":
             order = tuple(order[a] for a in config["order"])
@@ -213,15 +252,26 @@ def _array_v3(store: Store, name: str) -> ArrayMeta | None:
             seen = True
             if config.get("endian", "little") == "big":
                 dtype = dtype.newbyteorder(">")
-        elif c["name"] == "sharding_indexed" or not seen:
+        elif c["name"] == "sharding_indexed":
+            seen = True
+            shards = _shards(name, config, dtype, fill, [chunks[a] for a in order])
+        elif not seen:
             raise StoreError(f"array {name!r}: codec {c['name']!r} is not supported")
         else:
             codecs.append({"name": c["name"], **config})
-    encoding = m.get("chunk_key_encoding") or {"name": "default"}
-    separator = (encoding.get("configuration") or {}).get("separator", "/" if encoding["name"] == "default" else ".")
-    names = m.get("dimension_names")
-    names = tuple(names) if names and all(names) else None
-    return ArrayMeta(name, dtype, shape, tuple(m["chunk_grid"]["configuration"]["chunk_shape"]), _fill(m.get("fill_value"), dtype), tuple(codecs), order, separator, "c" if encoding["name"] == "default" else "", names, m.get("attributes") or {})
+    return dtype, tuple(codecs), order, shards
+
+
+def _shards(name: str, config: dict, dtype: np.dtype, fill, shape: list[int]) -> Shards:
+    chunks = tuple(config["chunk_shape"])
+    if len(chunks) != len(shape) or any(s % c for s, c in zip(shape, chunks)):
+        raise StoreError(f"array {name!r}: chunks of {chunks} do not divide shards of {tuple(shape)}")
+    dtype, codecs, order, shards = _chain(name, config.get("codecs") or [{"name": "bytes"}], dtype, fill, chunks)
+    inner = ArrayMeta(name, dtype, tuple(shape), chunks, fill, codecs, order, "/", "c", None, {}, shards)
+    index_type, index, _, _ = _chain(name, config.get("index_codecs") or [{"name": "bytes"}], np.dtype("<u8"), 0, chunks)
+    if any(c["name"] != "crc32c" for c in index):
+        raise StoreError(f"array {name!r}: a shard's index must have a fixed size")
+    return Shards(inner, index, ">" if index_type.str[0] == ">" else "<", config.get("index_location", "end") == "start")
 
 
 def _axes_by_size(variable: ArrayMeta, coords: list[ArrayMeta]) -> list[str] | None:

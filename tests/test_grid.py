@@ -1,5 +1,8 @@
 """Array stores: discovery, scans, pushdown, formats, errors."""
 
+import json
+import time
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,8 +13,8 @@ from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 from gridloom.engine import Engine
 from gridloom.functions.dialect import translate
 from gridloom.iostats import format_bytes
-from gridloom.shell import Shell, hint
-from gridloom.sources.codec import blosc_decode, blosc_encode, decode, encode
+from gridloom.shell import Shell, hint, ticker
+from gridloom.sources.codec import bit_shuffle, bit_unshuffle, blosc_decode, blosc_encode, decode, encode
 from gridloom.sources.grid import matching, metadata, plan, read_boxes, read_grid
 from gridloom.sources.meta import StoreError, discover, parse_v2_dtype
 from gridloom.sources.store import S3_CHAIN, Store, is_remote, unsigned
@@ -133,7 +136,7 @@ def test_wide_types(spark, tmp_path):
 def test_codecs():
     raw = np.arange(70000, dtype="<i8").tobytes()
     for name in ("lz4", "zstd", "zlib"):
-        for shuffled in (True, False):
+        for shuffled in (True, False, "bits"):
             assert blosc_decode(blosc_encode(raw, 8, name, shuffled)) == raw
     for c in ("gzip", "zlib", "zstd", "lz4"):
         assert decode(encode(raw, [{"name": c}], 8), [{"name": c}], len(raw)) == raw
@@ -141,6 +144,46 @@ def test_codecs():
         decode(b"", [{"name": "unheard"}], 0)
 
 
+def test_bit_shuffle_by_hand():
+    data = np.array([1, 3, 0, 0, 0, 0, 0, 128], "u1").tobytes()
+    assert bit_shuffle(data, 1) == bytes([0b11, 0b10, 0, 0, 0, 0, 0, 0x80])  # row k: bit k of each element
+    for width in (1, 2, 4, 8):
+        for n in (8, 64, 72, 9):
+            raw = np.random.default_rng(n).bytes(n * width)
+            assert bit_unshuffle(bit_shuffle(raw, width), width) == raw
+
+
+@pytest.mark.parametrize("where", ["start", "end"])
+def test_shards(spark, tmp_path, where):
+    """Shards of 4 x 4 cells in chunks of 2 x 2, gzipped, one not stored, a checksum behind the index."""
+    values = np.arange(48, dtype="<i4").reshape(8, 6)
+    path = write_store(str(tmp_path / "s.zarr"), {"x": np.arange(8), "y": np.arange(6)}, {"v": values}, chunks=(4, 4))
+    values[0:2, 0:2] = -7
+    file = tmp_path / "s.zarr/v/zarr.json"
+    meta = json.loads(file.read_text())
+    plain, index = {"name": "bytes", "configuration": {"endian": "little"}}, [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}]
+    meta["codecs"] = [{"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 2], "codecs": [plain, {"name": "gzip"}], "index_codecs": index, "index_location": where}}]
+    meta["fill_value"] = -7
+    file.write_text(json.dumps(meta))
+    padded = np.full((8, 8), -7, "<i4")
+    padded[:, :6] = values
+    for i, j in np.ndindex(2, 2):
+        body, places, at = b"", [], (4 * 16 + 4) * (where == "start")
+        for a, b in np.ndindex(2, 2):
+            cells = padded[4 * i + 2 * a :, 4 * j + 2 * b :][:2, :2]
+            piece = b"" if (cells == -7).all() else encode(cells.tobytes(), [{"name": "gzip"}], 4)
+            places += [at, len(piece)] if piece else [2**64 - 1] * 2
+            body, at = body + piece, at + len(piece)
+        table = np.array(places, "<u8").tobytes() + b"\0" * 4
+        (tmp_path / f"s.zarr/v/c/{i}/{j}").write_bytes(table + body if where == "start" else body + table)
+    got = {(r.x, r.y): r.v for r in read_grid(spark, path).collect()}
+    assert got == {(x, y): int(values[x, y]) for x in range(8) for y in range(6)}
+    meta["codecs"][0]["configuration"]["chunk_shape"] = [3, 2]
+    file.write_text(json.dumps(meta))
+    with pytest.raises(StoreError, match="divide"):
+        metadata(path, fresh=True)
+
+
 def test_statistics_keep_type(tmp_path):
     big = np.array([2**60 + 1, 2**60 + 3])
     meta = discover(write_store(str(tmp_path / "b.zarr"), {"x": big}, {}))
@@ -259,6 +302,11 @@ def test_shell(weather):
     assert shell.run("help") and shell.run("") and shell.run("select broken") and shell.run("SELECT count(*) AS c FROM weather")
     assert not shell.run("quit")
     assert "700" in out.getvalue() and "Error" in out.getvalue()
+    shown = io.StringIO()
+    shown.isatty = lambda: True
+    with ticker(shown, shell.progress, 0.01):
+        time.sleep(0.2)
+    assert "0 of 0 tasks · 0." in shown.getvalue() and shown.getvalue().endswith("\x1b[K")
     assert hint("sel", ["SELECT 1", "drop"]) == "ECT 1" and hint("s", ["SELECT 1"]) is None
 
 
