@@ -197,7 +197,8 @@ def bounded_broadcast_bytes(n_bytes: int, bound: int, what: str) -> None:
         raise ValueError(f"{what}: {n_bytes} bytes to broadcast, the bound is {bound}")
 
 
-STAR_CUTS = 16
+#: Tasks over which the edges of one node are dealt at the most.
+STAR_CUTS = 1024
 
 
 def _with_least(edges: DataFrame) -> DataFrame:

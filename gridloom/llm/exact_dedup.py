@@ -2,7 +2,9 @@
 
 Every input partition makes a run: its rows grouped by (64-bit digest, SHA-256, length), with the identifier to
 retain and a count.  The runs are the leaves of a binomial tree; in each round the runs whose numbers agree above
-the next BITS bits are exchanged and merged, dealt by digest too, so a merge never needs one task for a whole run.
+the next BITS bits are exchanged and merged, dealt by digest too, so a merge never needs one task for a whole run.  Rows
+to retain are structs, which Spark aggregates by sorting: every task sorts what it got by run and digest and merges
+equal neighbours, so each level's runs are sorted.
 The digest decides where a row goes; equality is decided by SHA-256 and byte length, verified in every merge.  The
 way back goes down the same tree: each merged entry hands its result to its children, so a text that a third of
 all rows hold is joined per run, not in one task.

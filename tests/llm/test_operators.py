@@ -175,6 +175,7 @@ def test_exact_dedup(docs, none, keep):
 def test_exact_dedup_is_native(docs):
     told = exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", told)
+    assert re.search(r"SortAggregate\(key=\[run#\d+, digest#", told)  # runs are merged in order
 
 
 def brute_components(rows, percent=85):
