@@ -105,7 +105,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hash of a word by seed, remembered; the memory is emptied at its bound."""
 
-    limit = 1 << 20
+    limit = 1 << 18
 
     def __init__(self, seed: int = 0):
         super().__init__()

@@ -34,7 +34,7 @@ ALPHA = 1.0
 SAMPLES = 2
 SEED = 9
 WORDS_AT_ONCE, STRETCH = 1 << 15, 1 << 13
-NODES = 1 << 21
+NODES = 1 << 20
 END = -1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
