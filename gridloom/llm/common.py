@@ -13,7 +13,10 @@ part whatever the skew.  The counts of blocks and parts follow the input size.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -106,10 +109,15 @@ class WordHash(dict):
     """64-bit hash of a word by seed, remembered; the memory is emptied at its bound."""
 
     limit = 1 << 18
+    #: All memories of this process.
+    every: weakref.WeakSet[WordHash] = weakref.WeakSet()
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
 
     def __init__(self, seed: int = 0):
         super().__init__()
         self.seed = seed
+        self.every.add(self)
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -120,6 +128,18 @@ class WordHash(dict):
         return h
 
 
+def release() -> None:
+    """Gives back what earlier stages' tasks left in a worker that is used again: remembered words and free memory."""
+    for memo in WordHash.every:
+        memo.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        return
+
+
 def word_hashes(words: list[bytes], memo: WordHash) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 

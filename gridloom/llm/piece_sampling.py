@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gridloom.llm.common import mix, spread_documents
+from gridloom.llm.common import mix, release, spread_documents
 
 SPACE = "▁"
 ALPHA = 1.0
 SAMPLES = 2
 SEED = 9
 WORDS_AT_ONCE, STRETCH = 1 << 15, 1 << 13
-NODES = 1 << 20
+#: Lattice nodes that are remembered, and characters whose lattices and paths are held at once.
+NODES, CHARS_AT_ONCE = 1 << 19, 1 << 18
 END = -1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -457,6 +459,19 @@ def sample(texts: list[tuple[bytes, str]], lattices: Lattices, k: int = SAMPLES,
     return out
 
 
+def stretches(b: pa.RecordBatch) -> Iterator[list[tuple[int | None, str]]]:
+    """All rows of a batch as (doc_id, text, empty if null), in lists that end where they reach CHARS_AT_ONCE."""
+    batch, load = [], 0
+    for d, t in zip(b.column("doc_id"), b.column("text")):
+        batch.append((d.as_py(), t.as_py() or ""))
+        load += len(batch[-1][1])
+        if load >= CHARS_AT_ONCE:
+            yield batch
+            batch, load = [], 0
+    if batch:
+        yield batch
+
+
 def sample_segmentations(docs: DataFrame, model_path: str | None = None, k: int = SAMPLES, seed: int = SEED, digest: bool = False) -> DataFrame:
     """Rows (doc_id, sample, n_pieces, log_prob, value, inclusion, round_trip) and ids, or ids_sha256 if digest.
 
@@ -474,22 +489,18 @@ def sample_segmentations(docs: DataFrame, model_path: str | None = None, k: int
     types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), last[1]]
 
     def run(batches):
+        release()
         lattices, text_of = Lattices(shared.value), decoder(shared.value)
         for b in batches:
-            rows, batch, load = list(zip(b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()])), [], 0
-            for at, (d, t) in enumerate(rows):
-                batch.append((d, t))
-                load += len(t)
-                if load >= 1 << 20 or at == len(rows) - 1:
-                    got = sample([((t.encode() if d is None else b"%d" % d), t) for d, t in batch], lattices, k, seed)
-                    out = []
-                    for (d, t), paths in zip(batch, got):
-                        raw = t.encode()
-                        for nth, (ids, phi, value, inclusion) in enumerate(paths):
-                            told = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() if digest else ids
-                            out.append((d, nth + 1, len(ids), phi, value, inclusion, text_of(ids) == raw, told))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(types)], names=names)
-                    batch, load = [], 0
+            for batch in stretches(b):
+                got = sample([((t.encode() if d is None else b"%d" % d), t) for d, t in batch], lattices, k, seed)
+                out = []
+                for (d, t), paths in zip(batch, got):
+                    raw = t.encode()
+                    for nth, (ids, phi, value, inclusion) in enumerate(paths):
+                        told = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() if digest else ids
+                        out.append((d, nth + 1, len(ids), phi, value, inclusion, text_of(ids) == raw, told))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(types)], names=names)
 
     schema = "doc_id long, sample int, n_pieces long, log_prob double, value double, inclusion double, round_trip boolean, " + ("ids_sha256 string" if digest else "ids array<int>")
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)

@@ -5,10 +5,13 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import decontamination, exact_dedup, jaccard_join, pii, piece_sampling, pitman_yor, sharding, suffix_dedup, toxicity, window_dedup
@@ -673,6 +676,24 @@ def test_long_texts_keep_their_samples(pieces):
             assert math.isclose(s[1], t[1], rel_tol=1e-9) and math.isclose(s[3], t[3], rel_tol=1e-6)
 
 
+def test_sampling_holds_little_at_once():
+    """Texts of many different words, run as one worker does: the peak stays small, and words that other operators remember go."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(300)) for _ in range(1200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    table = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=lambda run, _: run)
+    table.selectExpr = lambda *_: table
+    run = piece_sampling.sample_segmentations(table)
+    jaccard_join.shingle_set(b"words of another operator")
+    tracemalloc.start()
+    n = sum(out.num_rows for out in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2 * len(texts) and peak < 170e6, peak
+    assert not jaccard_join._memo
+
+
 @pytest.mark.parametrize("c", [6, 300, 3000])
 def test_a_sweep_reseats_a_dish_of_any_count(c):
     """One dish among others, swept from one table: tables follow the exact distribution given the others."""
