@@ -38,6 +38,10 @@ ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary
 ASK_SQL = "part int, block long, keys binary, flags binary"
 SEND = pa.schema([("part", pa.int32()), ("block", pa.int64())] + [(n, pa.binary()) for n in ("bytes", "lengths", "subs", "firsts", "which", "ids", "docs", "offsets")])
 SEND_SQL = "part int, block long, bytes binary, lengths binary, subs binary, firsts binary, which binary, ids binary, docs binary, offsets binary"
+#: What a part joins over its messages; occurrences have a place in `which`, their block's strings one in `lengths`.
+STRING_COLUMNS = [("lengths", np.uint32), ("subs", np.uint32), ("firsts", np.int64), ("which", np.uint32), ("ids", np.int64), ("docs", np.uint32), ("offsets", np.int64)]
+#: Positions of several messages that are answered together.
+POSITIONS = 1 << 18
 REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("bits", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
 REPLY_SQL = "block long, part int, bits binary, docs binary, starts binary, ends binary"
 
@@ -115,41 +119,49 @@ class Block:
         for p, s, e in part_slices(keys, n_parts):
             shared[s:e] = unpack_bits(bits[p], e - s)
         pick = np.flatnonzero(shared[self.group]) if len(keys) else np.zeros(0, np.int64)
-        part = parts_of(self.anchor[pick], n_parts)
-        at, ends, doc, low = self.at[pick], self.ends[pick], self.doc[pick], self.anchor[pick].astype(np.uint32)
+        part, doc = parts_of(self.anchor[pick], n_parts), self.doc[pick]
+        order = np.lexsort((doc, part))  # in a part documents ascend, so the first of equal strings has the least id
+        pick, part, doc = pick[order], part[order], doc[order]
+        at, raw, more = self.at[pick], self.raw, self.length - 1
+        # equal strings have one anchor, so one part: strings are numbered part by part
+        which, first, texts = distinct(pa.array([raw[s : e + more] for s, e in zip(at.tolist(), self.ends[pick].tolist())], pa.large_binary()))
+        ends = np.r_[0, np.cumsum(sizes_of(texts))]
+        bytes_ = texts.to_pylist()
+        sizes, subs, firsts = np.diff(ends).astype(np.uint32), self.anchor[pick[first]].astype(np.uint32), self.ids[doc[first]]
+        ids, docs, offsets = self.ids[doc], doc.astype(np.uint32), (at - self.start[doc]).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+        text_cuts = np.searchsorted(first, cuts)  # first occurrences ascend
+        which = (which - np.repeat(text_cuts[:-1], np.diff(cuts))).astype(np.uint32)
         rows = []
-        for p in np.unique(part):
-            mine = np.flatnonzero(part == p)
-            mine = mine[np.argsort(doc[mine], kind="stable")]  # documents ascend, so the first of equal strings has the least id
-            known: dict[bytes, int] = {}
-            which = np.empty(len(mine), np.uint32)
-            firsts, subs = [], []
-            raw, more = self.raw, self.length - 1
-            for j, (s, e, d, a) in enumerate(zip(at[mine].tolist(), ends[mine].tolist(), doc[mine].tolist(), low[mine].tolist())):
-                text = raw[s : e + more]
-                k = known.get(text)
-                if k is None:
-                    k = known[text] = len(firsts)
-                    firsts.append(d)
-                    subs.append(a)
-                which[j] = k
-            rows.append((
-                int(p), block, b"".join(known), np.fromiter(map(len, known), np.uint32, len(known)).tobytes(), np.array(subs, np.uint32).tobytes(),
-                self.ids[np.array(firsts)].tobytes(), which.tobytes(), self.ids[doc[mine]].tobytes(), doc[mine].astype(np.uint32).tobytes(),
-                (at[mine] - self.start[doc[mine]]).astype(np.int64).tobytes(),
-            ))
+        for p, s, e, i, j in zip(part[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), text_cuts[:-1].tolist(), text_cuts[1:].tolist()):
+            strings = [sizes[i:j], subs[i:j], firsts[i:j], which[s:e], ids[s:e], docs[s:e], offsets[s:e]]
+            rows.append((p, block, b"".join(bytes_[i:j]), *(x.tobytes() for x in strings)))
         return rows
 
 
+def distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Number of each string among the different ones (in the order of their first places), these places, and the strings."""
+    coded = texts.dictionary_encode()
+    which = coded.indices.to_numpy().astype(np.int64)
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    return which, first, coded.dictionary
+
+
+def sizes_of(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).to_numpy().astype(np.int64)
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """Rows in the order of id (nulls last), then text: the same in every round, however rows arrive."""
     return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
 
 
-def suffix_order(codes: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of strings laid end to end (each ends with code 0; left: codes up to and with that 0).
+def suffix_order(codes: np.ndarray, left: np.ndarray, enough: int | None = None) -> np.ndarray:
+    """Suffixes of strings laid end to end (each ends with code 0; left: codes up to and with that 0), sorted whole or by
+    `enough` codes at least: a merge of as many rounds looks no further.
 
-    Prefix doubling from 8-byte keys; suffixes that are equal up to their sentinels keep the order of their strings.
+    Prefix doubling from 8-byte keys; suffixes that are equal so far, or up to their sentinels, keep the order of their strings.
     """
     n = len(codes)
     padded = np.r_[codes, np.zeros(8, np.uint8)]
@@ -161,6 +173,7 @@ def suffix_order(codes: np.ndarray, left: np.ndarray) -> np.ndarray:
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
     have, longest = 8, int(left.max(initial=0))
+    longest = longest if enough is None else min(longest, enough)
     here = np.arange(n)
     while have < longest:
         ahead = np.where(left > have, rank[np.minimum(here + have, n - 1)] + 1, 0)
@@ -175,31 +188,42 @@ def suffix_order(codes: np.ndarray, left: np.ndarray) -> np.ndarray:
 def merge_bwts(bwts: list[np.ndarray], n_strings: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interleave of the shards' sorted suffixes, the number of its undivided block at each place, and at each
     place the length shared with the place before (rounds, if it is that or more)."""
-    n = sum(map(len, bwts))
-    n_ends = sum(n_strings)
-    z = np.repeat(np.arange(len(bwts), dtype=np.uint8), [len(b) for b in bwts])
-    head = np.repeat(np.arange(len(bwts), dtype=np.uint8), n_strings)
-    border = np.zeros(n, bool)
+    n, n_ends = sum(map(len, bwts)), sum(n_strings)
+    offsets = np.cumsum([0, *map(len, bwts)])
+    chars = np.concatenate(bwts)
+    ahead = np.zeros(n, np.int64)  # of each suffix: the one with the byte before it, in the same shard
+    heads = []
+    for b, k, at in zip(bwts, n_strings, offsets.tolist()):
+        inner = np.flatnonzero(b)
+        ahead[at + inner[np.argsort(b[inner], kind="stable")]] = at + np.arange(k, len(b))
+        heads.append(at + np.arange(k))
+    suffix = np.arange(n)  # at each place of the interleave
+    border = np.zeros(n + 1, bool)
+    border[n] = True
     lcp = np.full(n, rounds, np.int16)
-    block = np.zeros(n, np.int32)
-    chars = np.empty(n, np.uint8)
-    new_border = np.empty(n, bool)
+    # A suffix alone in its block stays where it is, and so does the one it leads to after one more round: from then on
+    # neither place is looked at.  live: places whose suffixes still lead on; free: where these lead, both ascending.
+    live, free = np.arange(n), np.arange(n_ends, n)
     for h in range(rounds):
-        for j, b in enumerate(bwts):
-            chars[z == j] = b
-        inner = np.flatnonzero(chars)
-        c = chars[inner]
-        move = np.argsort(c, kind="stable")
-        inner, c = inner[move], c[move]
-        came = block[inner]
-        new_border[:n_ends] = True
-        new_border[n_ends] = True
-        new_border[n_ends + 1 :] = (c[1:] != c[:-1]) | (came[1:] != came[:-1])
-        z = np.concatenate([head, z[inner]])
-        lcp[new_border & ~border] = h
-        border, new_border = new_border, border
-        block = np.cumsum(border, dtype=np.int32) - 1
-    return z, block, lcp
+        block = np.cumsum(border[live])
+        settled = border[live] & border[live + 1]
+        c = chars[suffix[live]]
+        inner = np.flatnonzero(c)
+        move = inner[np.argsort(c[inner], kind="stable")]
+        c, came = c[move], block[move]
+        new = np.ones(len(free), bool)
+        new[1:] = (c[1:] != c[:-1]) | (came[1:] != came[:-1])
+        to = ahead[suffix[live[move]]]
+        if h == 0:
+            suffix[:n_ends] = np.concatenate(heads)
+            border[:n_ends] = True
+            lcp[:n_ends] = 0
+        suffix[free] = to
+        lcp[free[new & ~border[free]]] = h
+        border[free] = new
+        live, free = live[~settled], free[~settled[move]]
+    z = np.searchsorted(offsets[1:], suffix, side="right").astype(np.uint8)
+    return z, np.cumsum(border[:n], dtype=np.int32) - 1, lcp
 
 
 def earliest(strings: list[bytes], firsts: np.ndarray, length: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +242,7 @@ def earliest(strings: list[bytes], firsts: np.ndarray, length: int, shards: int
         string = np.repeat(np.arange(s, e), sizes[s:e] + 1)
         place = np.arange(len(joined))
         left = ends[string - s] - place
-        order = suffix_order(joined, left)
+        order = suffix_order(joined, left, length)
         bwts.append(np.where(place == (ends - sizes[s:e] - 1)[string - s], 0, np.r_[np.uint8(0), joined[:-1]]).astype(np.uint8)[order])
         start = (ends - sizes[s:e] - 1)[string - s]
         suffixes.append((string[order], (place - start)[order]))
@@ -260,60 +284,53 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
 
 
 def _answer_strings(table: pa.Table, length: int, shards: int) -> pa.Table:
-    rows = table.to_pylist()
-    known: dict[bytes, int] = {}
-    firsts: list[int] = []
-    subs: list[int] = []
-    maps = []
-    for r in rows:
-        ends = np.cumsum(np.frombuffer(r["lengths"], np.uint32).astype(np.int64)).tolist()
-        raw, s, own = r["bytes"], 0, []
-        for e, first, sub in zip(ends, np.frombuffer(r["firsts"], np.int64).tolist(), np.frombuffer(r["subs"], np.uint32).tolist()):
-            text = raw[s:e]
-            s = e
-            k = known.get(text)
-            if k is None:
-                k = known[text] = len(firsts)
-                firsts.append(first)
-                subs.append(sub)
-            elif first < firsts[k]:
-                firsts[k] = first
-            own.append(k)
-        maps.append(np.array(own, np.int64))
-    strings = list(known)
-    del known
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    rows = table.select(["block", "part", *(c for c, _ in STRING_COLUMNS), "bytes"]).to_pydict()
+    cut = {c: np.r_[0, np.cumsum([len(x) // np.dtype(t).itemsize for x in rows[c]])] for c, t in (("lengths", np.uint32), ("which", np.uint32))}
+    of = {c: np.frombuffer(b"".join(rows.pop(c)), t) for c, t in STRING_COLUMNS}
+    given = b"".join(rows.pop("bytes"))
+    ends = np.r_[0, np.cumsum(of["lengths"].astype(np.int64))]
+    own, at, strings = distinct(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(given)]))
+    del given
+    first_of = of["firsts"][at].copy()
+    np.minimum.at(first_of, own, of["firsts"])
+    sizes = sizes_of(strings)
     offset = np.r_[0, np.cumsum(np.maximum(sizes - length + 1, 0))]
-    least, first_of = np.empty(offset[-1], np.int64), np.array(firsts, np.int64)
-    sub = np.array(subs, np.int64)
+    sub = of["subs"][at].astype(np.int64)
     # a string alone under its anchor shares nothing with another one: its own first document decides
-    _, of, alike = np.unique(sub, return_inverse=True, return_counts=True)
-    alone = alike[of] == 1
-    n = np.diff(offset)
-    least[:] = np.repeat(first_of, n)
+    _, kind, alike = np.unique(sub, return_inverse=True, return_counts=True)
+    alone = alike[kind] == 1
+    least = np.repeat(first_of, np.diff(offset))
     several = np.flatnonzero(~alone)
     for chosen in anchor_ranges(sub, sizes + 1, several):
-        found, own = earliest([strings[i] for i in chosen.tolist()], first_of[chosen], length, shards)
-        n = np.diff(own)
-        least[np.repeat(offset[chosen] - own[:-1], n) + np.arange(len(found))] = found
+        found, begin = earliest(strings.take(pa.array(chosen)).to_pylist(), first_of[chosen], length, shards)
+        n = np.diff(begin)
+        least[np.repeat(offset[chosen] - begin[:-1], n) + np.arange(len(found))] = found
+    # each occurrence: its string here, and the first document of that string in its own block
+    text = of["which"] + np.repeat(cut["lengths"][:-1], np.diff(cut["which"]))
+    first, text = of["firsts"][text], own[text]
+    reach = np.r_[0, np.cumsum(offset[text + 1] - offset[text])][cut["which"]]  # positions up to each message
     replies = []
-    for r, own in zip(rows, maps):
-        first = np.frombuffer(r["firsts"], np.int64)
-        which = np.frombuffer(r["which"], np.uint32)
-        docs, offs = np.frombuffer(r["docs"], np.uint32), np.frombuffer(r["offsets"], np.int64)
-        n = (offset[own + 1] - offset[own])[which]  # positions of each occurrence
-        at = np.repeat(np.cumsum(n) - n, n)
-        k = np.arange(int(n.sum())) - at
-        occ = np.repeat(np.arange(len(which)), n)
-        ids = np.frombuffer(r["ids"], np.int64)  # of each occurrence: a later document of the same block loses the whole string
-        gone = (least[offset[own[which]][occ] + k] < first[which][occ])
-        edge = gone | (ids > first[which])[occ]
-        begin = edge & ~np.r_[False, edge[:-1] & (occ[1:] == occ[:-1])]
-        final = edge & ~np.r_[edge[1:] & (occ[1:] == occ[:-1]), False]
-        replies.append((
-            r["block"], r["part"], b"", docs[occ[begin]].tobytes(),
-            (offs[occ[begin]] + k[begin]).tobytes(), (offs[occ[final]] + k[final] + length).tobytes(),
-        ))
+    m = 0
+    while m < table.num_rows:  # messages together, as far as POSITIONS goes
+        to = max(m + 1, int(np.searchsorted(reach, reach[m] + POSITIONS, side="right")) - 1)
+        s, e = cut["which"][m], cut["which"][to]
+        mine = text[s:e]
+        n = offset[mine + 1] - offset[mine]
+        occ = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(occ)) - np.repeat(np.cumsum(n) - n, n)
+        # a later document of the same block loses the whole string
+        edge = (least[offset[mine][occ] + k] < first[s:e][occ]) | (of["ids"][s:e] > first[s:e])[occ]
+        same = edge[:-1] & edge[1:] & (occ[1:] == occ[:-1])
+        begin, final = edge.copy(), edge.copy()
+        begin[1:] &= ~same
+        final[:-1] &= ~same
+        spans = occ[begin]
+        docs, offs = of["docs"][s:e][spans], of["offsets"][s:e][spans]
+        start, end = offs + k[begin], offs + k[final] + length
+        cuts = np.searchsorted(spans, cut["which"][m : to + 1] - s).tolist()
+        for r, (i, j) in enumerate(zip(cuts, cuts[1:]), m):
+            replies.append((rows["block"][r], rows["part"][r], b"", docs[i:j].tobytes(), start[i:j].tobytes(), end[i:j].tobytes()))
+        m = to
     return table_of(REPLY, replies)
 
 
@@ -343,7 +360,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     def cut(key, table, replies):
         table = ordered(table)
         ids = table.column("doc_id").to_pylist()
-        spans = [np.concatenate([np.frombuffer(b, t) for b in replies.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in (("docs", np.uint32), ("starts", np.int64), ("ends", np.int64))]
+        spans = [np.frombuffer(b"".join(replies.column(c).to_pylist()), t) for c, t in (("docs", np.uint32), ("starts", np.int64), ("ends", np.int64))]
         order = np.lexsort((spans[1], spans[0]))
         doc, start, end = (x[order] for x in spans)
         at = np.searchsorted(doc, np.arange(len(ids) + 1))

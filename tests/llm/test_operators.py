@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -676,6 +677,46 @@ def test_long_texts_keep_their_samples(pieces):
             assert math.isclose(s[1], t[1], rel_tol=1e-9) and math.isclose(s[3], t[3], rel_tol=1e-6)
 
 
+def test_substring_messages_cost_little_each():
+    """Calls that a block makes for a part more, and a part for a message more: there are blocks times parts of these."""
+    r = random.Random(8)
+    passage = "".join(r.choices("abcdefgh ", k=4000))
+    texts = ["".join(r.choices("abcdefgh ", k=300)) + passage[50 * k : 50 * k + 900] for k in range(60)]
+
+    def calls(run):
+        n = 0
+
+        def seen(frame, event, arg):
+            nonlocal n
+            n += event in ("call", "c_call")
+
+        sys.setprofile(seen)
+        try:
+            return run(), n
+        finally:
+            sys.setprofile(None)
+
+    def block(k, rows, n_parts):
+        b = suffix_dedup.Block(pa.table({"doc_id": pa.array(rows, pa.int64()), "text": [texts[i] for i in rows]}), 50, 20)
+        keys = b.anchor[b.first_of]
+        bits = {p: suffix_dedup.pack_bits(np.ones(e - s, bool)) for p, s, e in suffix_dedup.part_slices(keys, n_parts)}
+        return calls(lambda: b.send(n_parts, k, bits))
+
+    (few, cost_few), (many, cost_many) = block(0, range(60), 2), block(0, range(60), 400)
+    assert cost_many - cost_few < 40 * (len(many) - len(few))
+
+    def answer(step):
+        sent = [m for k in range(0, 60, step) for m in block(k, range(k, k + step), 1)[0]]
+        table = suffix_dedup.table_of(suffix_dedup.SEND, sent)
+        reply, n = calls(lambda: suffix_dedup._answer_strings(table, 50, 2))
+        gone = {(m["block"] + d, p) for m in reply.to_pylist() for d, s, e in zip(*(np.frombuffer(m[c], t) for c, t in (("docs", np.uint32), ("starts", np.int64), ("ends", np.int64)))) for p in range(s, e)}
+        return len(sent), n, gone
+
+    (n_few, few, want), (n_many, many, got) = answer(30), answer(1)
+    assert n_many == 60 and n_few == 2 and got == want
+    assert many - few < 40 * (n_many - n_few)
+
+
 def test_sampling_holds_little_at_once():
     """Texts of many different words, run as one worker does: the peak stays small, and words that other operators remember go."""
     r = random.Random(3)
