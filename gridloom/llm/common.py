@@ -234,7 +234,8 @@ def connected(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFr
     """Connected components of edges (a long, b long): (node, component), component the smallest node.
 
     Alternating large-star and small-star over tables in the shared folder; every round keeps at most as many
-    edges as there were, a star's edges are cut over tasks, and nothing reaches the driver but two sums.
+    edges as there were, a star's edges are cut over tasks, and nothing reaches the driver but two sums.  Both
+    halves of a round are written: a plan of both would have each three times over, which the driver has to hold.
     """
     e = scratch(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag
@@ -242,9 +243,8 @@ def connected(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFr
     last = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        )
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = scratch(large.where("u <> v").distinct(), tag)
         small = _with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
         e = scratch(small, tag)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()

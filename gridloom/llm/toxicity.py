@@ -14,6 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -211,33 +212,55 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def one_of_each(rows: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
-    """Rows without copies of earlier ones: copies share their least or their largest three word hashes.
+class Rows:
+    """Rows (label, distinct words) that can be read again and again: their words stay packed, one row's at a time is open."""
+
+    def __init__(self, packed: list[tuple[int, bytes]]):
+        self.packed = packed
+
+    @staticmethod
+    def pack(words: set[str]) -> bytes:
+        return zlib.compress(json.dumps(sorted(words)).encode(), 1)
+
+    def __iter__(self) -> Iterator[tuple[int, list[str]]]:
+        return ((label, json.loads(zlib.decompress(words))) for label, words in self.packed)
+
+
+def one_of_each(rows: Iterable[tuple[int, list[str]]]) -> Iterator[tuple[bool, int, list[str]]]:
+    """Rows, and whether each is no copy of an earlier one: copies share their least or their largest three word hashes.
 
     Otherwise any word of a text that was copied often would look like a word of its label.
     """
-    seen, kept = set(), []
+    seen = set()
     for label, words in rows:
         h = sorted(zlib.crc32(w.encode()) for w in words)
         marks = {("least", *h[:3]), ("largest", *h[-3:])}
-        if not marks & seen:
-            kept.append((label, words))
+        yield not marks & seen, label, words
         seen |= marks
-    return kept
 
 
-def learn_lexicon(rows: list[tuple[int, list[str]]]) -> list[tuple[str, bool, float]]:
-    """Entries (term, is a stem, weight) from (label, distinct words): log odds of document frequencies, smoothed."""
+def units_of(words: list[str]) -> set[tuple[str, bool]]:
+    units = set()
+    for w in words:
+        if len(w) > 3:
+            units.add((w, False))
+        units.update((w[:n], True) for n in STEMS if len(w) > n)
+    return units
+
+
+def learn_lexicon(rows: Iterable[tuple[int, list[str]]]) -> list[tuple[str, bool, float]]:
+    """Entries (term, is a stem, weight) from (label, distinct words): log odds of document frequencies, smoothed.
+
+    The rows are read twice: toxic ones give the terms, clean ones are counted for those terms only.
+    """
     counts = (Counter(), Counter())
     totals = [0, 0]
-    for label, words in one_of_each(rows):
-        totals[label] += 1
-        units = set()
-        for w in words:
-            if len(w) > 3:
-                units.add((w, False))
-            units.update((w[:n], True) for n in STEMS if len(w) > n)
-        counts[label].update(units)
+    kept = []
+    for new, label, words in one_of_each(rows):
+        kept.append(new)
+        totals[label] += new
+        if new and label:
+            counts[1].update(units_of(words))
     if not totals[0] or not totals[1]:
         return []
     least = max(3, totals[1] * LEAST_SHARE)
@@ -247,10 +270,13 @@ def learn_lexicon(rows: list[tuple[int, list[str]]]) -> list[tuple[str, bool, fl
             for n in STEMS:
                 if n < len(t):
                     words_of[t[:n]] = max(words_of.get(t[:n], 0), a)
+    # a stem of one word: the word stands for it
+    terms = {unit: a for unit, a in counts[1].items() if a >= least and not (unit[1] and words_of.get(unit[0], 0) > 0.8 * a)}
+    for new, (label, words) in zip(kept, rows):
+        if new and not label:
+            counts[0].update(units_of(words) & terms.keys())
     found = []
-    for unit, a in counts[1].items():
-        if a < least or (unit[1] and words_of.get(unit[0], 0) > 0.8 * a):  # a stem of one word: the word stands for it
-            continue
+    for unit, a in terms.items():
         weight = math.log((a + 0.1) / (totals[1] + 0.2)) - math.log((counts[0][unit] + 0.5) / (totals[0] + 1.0))
         if weight >= 1.5:
             found.append((weight * math.sqrt(a), unit, weight))
@@ -289,11 +315,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def words_of(batches):
         for b in batches:
-            words = [json.dumps(sorted(set(WORD.findall(t.lower())))) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("toxic"), pa.array(words, pa.string())], names=["toxic", "words"])
+            words = [Rows.pack(set(WORD.findall(t.lower()))) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("toxic"), pa.array(words, pa.binary())], names=["toxic", "words"])
 
-    got = sample.mapInArrow(words_of, "toxic int, words string").toLocalIterator()
-    entries = learn_lexicon([(r["toxic"], json.loads(r["words"])) for r in got])
+    got = sample.mapInArrow(words_of, "toxic int, words binary").toLocalIterator()
+    entries = learn_lexicon(Rows([(r["toxic"], bytes(r["words"])) for r in got]))
 
     def measured(batches):
         lexicon = Lexicon(entries)

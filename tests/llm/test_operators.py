@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import decontamination, exact_dedup, jaccard_join, pii, piece_sampling, pitman_yor, sharding, suffix_dedup, toxicity, window_dedup
-from gridloom.llm.common import connected
+from gridloom.llm import common, decontamination, exact_dedup, jaccard_join, pii, piece_sampling, pitman_yor, sharding, suffix_dedup, toxicity, window_dedup
+from gridloom.llm.common import connected, scratch
 
 SCHEMA = "doc_id long, text string, source string, block long, part int, score double, run int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -281,6 +281,19 @@ def test_connected(spark):
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 1 for k in (1, 4, 7, 9)}}
 
 
+def test_connected_has_small_plans(spark, monkeypatch):
+    """The driver holds the plan of every job of a round: none reads its table more than six times."""
+    scans = []
+
+    def counted(df, tag):
+        scans.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return scratch(df, tag)
+
+    monkeypatch.setattr(common, "scratch", counted)
+    connected(spark.createDataFrame([(1, 9), (9, 4), (4, 7), (20, 21)], "a long, b long"))
+    assert len(scans) > 2 and max(scans) <= 6
+
+
 def test_sharding(docs, none):
     rows = sharding.interleave(docs, 7, bucket_rows=4).collect()
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in corpus())
@@ -584,6 +597,30 @@ def test_toxicity_of_odd_rows(spark):
     assert all(r.score == 0.5 and {r.mine} == score[r.doc_id] for r in named)
 
 
+def test_learning_a_lexicon_holds_little_at_once():
+    """Words of clean rows are not held: the driver's memory follows the terms of the toxic rows and one row."""
+
+    class Read:
+        def __iter__(self):
+            for k in range(400):
+                toxic = int(k % 20 == 0)
+                yield toxic, [f"{k}x{i}" for i in range(300)] + (["zorkish", "plain"] if toxic else ["plain"])
+
+    rows = list(Read())
+    want = toxicity.learn_lexicon(rows)
+    assert want and {t for t, _, _ in want} == {"zorkish"}
+    packed = toxicity.Rows([(label, toxicity.Rows.pack(set(words))) for label, words in rows])
+    assert [(label, sorted(words)) for label, words in rows] == list(packed) == list(packed)
+    assert toxicity.learn_lexicon(packed) == want
+    del rows
+    tracemalloc.start()
+    try:
+        assert toxicity.learn_lexicon(Read()) == want
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_apostrophes_are_no_quotation():
     lexicon = toxicity.Lexicon([("zorkish", False, 6.0)])
     for text in ("it’s a zorkish thing, isn’t it", "it's zorkish isn't it"):
